@@ -15,8 +15,29 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False)
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign
+
+    return assign(table(spark, sf_dir, "documents"))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op7_bpe": op7_bpe,
+    "op8_licences": op8_licences,
+    "op9_sharding": op9_sharding,
+    "op10_topk": op10_topk,
 }
 
 ORACLE: dict[str, str] = {}
