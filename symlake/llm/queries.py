@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import ORACLE as CHAT_ORACLE
 from .common import table
 
 
@@ -33,6 +34,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import conversations
+
+    return conversations(table(spark, sf_dir, "conversations"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,10 +71,11 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
+    "op6_chat": op6_chat,
     "op7_bpe": op7_bpe,
     "op8_licences": op8_licences,
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_chat": CHAT_ORACLE}
