@@ -1,8 +1,62 @@
-"""A pipeline over documents; stages are added as their operators are."""
+"""A pipeline over documents: toxicity, near-duplicates, repeated passages, benchmark leaks, tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet
+to the shared folder and read again as the next one's docs.  All but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from symlake.llm import bpe, decontaminate, neardup, suffix, toxicity
+from symlake.llm.common import Scratch, table
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator rejects (score 0.5 or more) go."""
+    return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies stays."""
+    return neardup.distinct_documents(docs)
+
+
+def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes under a 200-byte string that also starts elsewhere are cut out; documents stay."""
+    return suffix.deduplicated(docs)
+
+
+def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, and digests of the ids and of what they decode to."""
+    import public_tokenizers
+
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", toxic_out),
+    ("simhash_near_dedup", near_copies_out),
+    ("suffix_array_dedup", repeats_out),
+    ("decontamination", leaks_out),
+    ("bpe", tokens),
+]
+
+#: SQL cannot express these stages; tests/llm/test_pipeline.py runs the whole against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.write(docs)
+    return docs

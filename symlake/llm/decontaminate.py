@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,3 +135,25 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         return map_batches(rows, run, "doc_id long, item_id long, distance int, budget int, place_end long")
 
     return reduce(DataFrame.unionByName, [one(p) for p in _passes(items)])
+
+
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs that hold no benchmark item, with all their columns; a pass over the texts, without a shuffle."""
+    spark = tuned(docs.sparkSession)
+    for part in _passes(items):
+        docs = _without(spark, docs, part)
+    return docs
+
+
+def _without(spark, docs: DataFrame, part: list[tuple[int, str]]) -> DataFrame:
+    shared = spark.sparkContext.broadcast(part)  # PASS_CHARS characters at most, and one item
+    state: list[Matcher] = []
+
+    def run(batches):
+        for b in batches:
+            if not state:
+                state.append(Matcher(shared.value))
+            texts = b.column(b.schema.get_field_index("text")).cast("string").to_pylist()
+            yield b.filter(pa.array([next(state[0].find(t), None) is None for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

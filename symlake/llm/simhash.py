@@ -94,7 +94,10 @@ def _segments(bits: list[int], count: int) -> list[list[int]]:
     return [x.tolist() for x in np.array_split(np.array(bits), count)]
 
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+def _step(k: int) -> np.uint64:
+    """The k-th multiple of an odd number, modulo 2**64."""
+    return np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -124,7 +127,7 @@ def _entries(rows: DataFrame, distance: int) -> DataFrame:
                 mine = shared == np.uint64(s)
                 f, k = fp[mine], base[mine]
                 for n, m in enumerate(plans[s]):
-                    key = _mix((f & np.uint64(m)) + _mix(k + _MIX * np.uint64(n + 1)))
+                    key = _mix((f & np.uint64(m)) + _mix(k + _step(n + 1)))
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(f), _signed(s | m), np.int64)), pa.array(f.view(np.int64))], schema=target)
 
     return rows.select("key", "shared", "fp").mapInArrow(run, "key long, shared long, fp long")
