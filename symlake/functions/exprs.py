@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Line breaks as Python's str.splitlines has them.
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 #: Fixed value: the namespace of URL identifiers (RFC 4122).
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 #: A query that one of these matches is looked up exactly.

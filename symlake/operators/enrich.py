@@ -96,7 +96,8 @@ def merge(parsed: DataFrame) -> DataFrame:
     by = parsed.groupBy("id").agg(order.alias("all"))
     first = F.element_at(F.filter(F.transform("all", lambda x: x["description"]), lambda d: d != ""), 1)
     first = F.when(F.size(F.filter("all", lambda x: x["description"] != "")) > 0, first).otherwise("")
-    return by.select("id", first.alias("description"), *[F.array_distinct(F.flatten(F.transform("all", lambda x, k=k: x[k]))).alias(k) for k in LISTS])
+    united = lambda k: F.array_distinct(F.flatten(F.transform("all", lambda x: x[k]))).alias(k)
+    return by.select("id", first.alias("description"), *map(united, LISTS))
 
 
 def profile_text() -> Column:

@@ -244,13 +244,13 @@ _LISTS = """lists as (
 
 
 def _literal_hits(spark, d) -> DataFrame:
-    """Documents that hold a benchmark text as it stands; candidates by the item's rarest words would change nothing."""
+    """Documents that hold a benchmark text as it stands."""
     q = benchmark_queries(spark, d)
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     # an equi-join on the first three tokens of an item keeps texts from meeting every item
     head = lambda c: F.array_join(F.slice(exprs.tokens(c), 1, 3), " ")
     keyed = q.withColumnRenamed("text", "item").withColumn("key", head(F.col("item")))
-    grams = docs.select("id", "text", exprs.tokens(F.coalesce("text", F.lit(""))).alias("ts")).withColumn("key", F.explode(F.array_distinct(F.transform("ts", lambda x, i: F.concat_ws(" ", x, F.get("ts", i + 1), F.get("ts", i + 2))))))
+    grams = docs.select("id", "text", exprs.tokens(F.coalesce("text", F.lit(""))).alias("ts")).withColumn("key", F.explode(F.array_distinct(F.zip_with(F.zip_with("ts", F.slice("ts", 2, F.size("ts")), lambda a, b: F.concat_ws(" ", a, b)), F.slice("ts", 3, F.size("ts")), lambda ab, c: F.concat_ws(" ", ab, c)))))
     short = grams.select("id", "key").join(keyed.select("query_id", "key", "item"), "key").join(docs, "id").where(F.col("text").contains(F.col("item"))).select("query_id", "id").distinct()
     return graph.ranked(short, ["query_id"], ["id"], 50)
 

@@ -1,14 +1,26 @@
 """Schemas of the tables of a code index, and of search hits."""
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructType
 
-FILES = StructType.fromDDL("path string, language string, content string")
-SYMBOLS = StructType.fromDDL("id string, qualified_name string, file_path string, name string, kind string, language string, start_line int, end_line int, parent string, ord int")
-CHUNKS = StructType.fromDDL("id string, unit_type string, symbol_qualified_name string, file_path string, language string, start_line int, end_line int, content string, profile string")
-EDGES = StructType.fromDDL("src_symbol_id string, dst_symbol_id string, edge_type string, file_path string, line_start int, line_end int, confidence double")
-ENRICHMENTS = StructType.fromDDL("chunk_id string, description string, responsibilities array<string>, tags array<string>, inputs array<string>, outputs array<string>, side_effects array<string>, failure_modes array<string>")
-VECTORS = StructType.fromDDL("id string, vector array<float>, unit_type string, file_path string, language string, symbol string, line_start int, line_end int, content string, profile string, embedding_text string")
-HITS = StructType.fromDDL("query_id long, rank int, id string, score double, file_path string, symbol string, content string, source string, retrieval_method string, line_start int, line_end int")
+_TYPES = {"string": StringType(), "int": IntegerType(), "long": LongType(), "double": DoubleType(), "array<string>": ArrayType(StringType()), "array<float>": ArrayType(FloatType())}
+
+
+def _schema(text: str) -> StructType:
+    """A schema from "name type, ..." without a session."""
+    out = StructType()
+    for part in text.split(", "):
+        name, kind = part.split(" ")
+        out.add(name, _TYPES[kind])
+    return out
+
+
+FILES = _schema("path string, language string, content string")
+SYMBOLS = _schema("id string, qualified_name string, file_path string, name string, kind string, language string, start_line int, end_line int, parent string, ord int")
+CHUNKS = _schema("id string, unit_type string, symbol_qualified_name string, file_path string, language string, start_line int, end_line int, content string, profile string")
+EDGES = _schema("src_symbol_id string, dst_symbol_id string, edge_type string, file_path string, line_start int, line_end int, confidence double")
+ENRICHMENTS = _schema("chunk_id string, description string, responsibilities array<string>, tags array<string>, inputs array<string>, outputs array<string>, side_effects array<string>, failure_modes array<string>")
+VECTORS = _schema("id string, vector array<float>, unit_type string, file_path string, language string, symbol string, line_start int, line_end int, content string, profile string, embedding_text string")
+HITS = _schema("query_id long, rank int, id string, score double, file_path string, symbol string, content string, source string, retrieval_method string, line_start int, line_end int")
 
 #: Table name -> (schema, key columns, column that says which file a row came from).
 TABLES = {

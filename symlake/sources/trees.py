@@ -87,6 +87,6 @@ def bug_list(lines: DataFrame) -> DataFrame:
 
     Rows whose id isn't a number or that name no class are left out.
     """
-    cut = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim), lambda x: x != "")
+    cut = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
     out = lines.where(F.col("id").rlike(r"^\d+$")).select("project", F.col("id").alias("bug_id"), cut(F.col("classes")).alias("modified_classes"), cut(F.col("tests")).alias("triggering_tests"))
     return out.where(F.size("modified_classes") > 0)
