@@ -12,8 +12,9 @@ starts; the bytes of that range are its context.
    a task builds the suffix array of some of them (sampled triples are sorted, named and
    recursed on, the remaining suffixes merged), and compares adjacent prefixes.  As only
    LENGTH bytes count, recursion ends when names stand for that many.
-3. Anchor hashes with more than `hot` contexts (where one passage begins in many texts)
-   would fill a task: their windows are counted one by one, which a shuffle can split.
+3. Anchor hashes with more than `hot` contexts (where one passage begins in very many
+   texts) would not fit the memory of a task.  Their windows are counted one by one, by
+   hashes that a shuffle spreads and adds up before it.
 
 Counts over hashes use two of 64 bits each (step 1) and one of 64 bits (step 3).
 
@@ -34,8 +35,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, _arrow, map_batches, release_shuffles, settled, tuned
 
 LENGTH, RUN = 200, 32
-#: Window starts handled at once, bytes of contexts in one suffix array, contexts of one anchor that make it hot.
-BLOCK, CHUNK, HOT = 1 << 17, 1 << 20, 1000
+#: Window starts handled at once, and bytes of contexts that close a suffix array.
+BLOCK, CHUNK = 1 << 17, 1 << 20
+#: Contexts of one anchor that one suffix array takes: with 270 bytes each, about 250 MB of a worker's memory.
+HOT = 10_000
 #: Odd multiplier of the rolling hash, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -214,17 +217,19 @@ def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             rows, hashed = [], []
             for rid, raw, all_ in zip(b["rid"].to_pylist(), b["raw"].to_pylist(), b["all"].to_pylist(), strict=True):
                 for x in all_:
-                    lo, hi = x["lo"], x["hi"]
-                    part = raw[lo : hi + LENGTH]
+                    part = raw[x["lo"] : x["hi"] + LENGTH]
                     if x["hot"]:
-                        start = np.arange(hi - lo + 1)
-                        hashed.append((rid, lo, _mix(substring_hashes(prefix_sums(part), start, start + LENGTH)).view(np.int64)))
+                        start = np.arange(x["hi"] - x["lo"] + 1)
+                        hashed.append((rid, x["lo"], x["n"], _mix(substring_hashes(prefix_sums(part), start, start + LENGTH)).view(np.int64)))
                     else:
-                        rows.append((x["anchor"], rid, lo, x["n"], part, None))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            yield _batch(target, *cols)
-            for rid, lo, h in hashed:
-                yield _batch(target, np.zeros(len(h), np.int64), np.full(len(h), rid), np.arange(lo, lo + len(h), dtype=np.int32), np.zeros(len(h), np.int32), [None] * len(h), h)
+                        rows.append((x["anchor"], rid, x["lo"], x["n"], part, None))
+            yield _batch(target, *(list(zip(*rows, strict=True)) or [[]] * 6))
+            for k in range(0, len(hashed), 1024):
+                some = hashed[k : k + 1024]
+                size = [len(h[3]) for h in some]
+                start = np.concatenate([np.arange(lo, lo + len(h), dtype=np.int32) for _, lo, _, h in some])
+                same = lambda i, t, some=some, size=size: np.repeat(np.array([h[i] for h in some], t), size)
+                yield _batch(target, np.zeros(len(start), np.int64), same(0, np.int64), start, same(2, np.int32), [None] * len(start), np.concatenate([h[3] for h in some]))
 
     texts = _numbered(docs).select("rid", F.col("text").cast("binary").alias("raw"))
     return texts.join(wanted, "rid").select("rid", "raw", "all").mapInArrow(run, _SLICES)
@@ -266,23 +271,27 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFra
     """rid, lo, hi: ranges of starts of windows that occur again, for docs (doc_id, text)."""
     spark = tuned(docs.sparkSession)
     found = scratch.write(_find_anchors(docs))
-    shared = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("alike")).where("n > 1").drop("n")
+    # written, so that the join below splits anchors that very many texts share
+    shared = scratch.write(found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("alike")).where("n > 1").drop("n"))
     rep = scratch.write(found.join(shared, "anchor"))
     release_shuffles(spark)
     kinds = scratch.write(rep.where("not alike").groupBy("anchor", "context").agg(F.count("*").cast("int").alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("one")))
     whole = rep.where("alike").select("rid", "lo", "hi").unionByName(rep.where("not alike").join(kinds.where("n > 1").select("anchor", "context"), ["anchor", "context"]).select("rid", "lo", "hi"))
     whole = scratch.write(whole)
-    many = kinds.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("anchor", F.lit(True).alias("hot"))
+    many = scratch.write(kinds.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("anchor", F.lit(True).alias("hot")))
     wanted = kinds.join(many, "anchor", "left").select("anchor", "n", "one.*", F.coalesce("hot", F.lit(False)).alias("hot"))
     wanted = wanted.groupBy("rid").agg(F.collect_list(F.struct("anchor", "lo", "hi", "n", "hot")).alias("all"))
     slices = scratch.write(_cut(docs, wanted))
     release_shuffles(spark)
-    sorted_ = scratch.write(_sort_contexts(slices.where("window is null")))
-    windows = slices.where("window is not null").select("window", "rid", "lo").distinct()
-    twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    counted = scratch.write(windows.join(twice, "window").select("rid", "lo", F.col("lo").alias("hi")))
+    out = whole.unionByName(scratch.write(_sort_contexts(slices.where("window is null"))))
+    windows = slices.where("window is not null").drop("raw", "anchor")
+    if not windows.isEmpty():
+        twice = scratch.write(windows.groupBy("window").agg(F.count("*").alias("k")).where("k > 1").select("window"))
+        # a context that occurs twice is in `whole`; it only counts for the others
+        once = windows.where("n = 1").join(twice, "window").select("rid", "lo", F.col("lo").alias("hi"))
+        out = out.unionByName(scratch.write(once))
     release_shuffles(spark)
-    return whole.unionByName(sorted_).unionByName(counted)
+    return out
 
 
 def merge(spans: list, size: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -349,14 +358,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         texts = []
         for raw, s in zip(b["raw"].to_pylist(), b["spans"].to_pylist(), strict=True):
             texts.append(None if raw is None else kept(raw, merge(s, len(raw))).decode("utf-8", "ignore"))
-        return {"row": b["row"].to_pylist(), "text": texts}
-
-    # the other columns travel beside the text, whatever they are called
-    other = [c for c in docs.columns if c != "text"]
-    rows = _with_spans(docs, spans)
-    packed = rows.select(F.struct(*other).alias("row"), F.col("text").cast("binary").alias("raw"), "spans")
-    out = map_batches(packed, run, f"row {packed.schema['row'].dataType.simpleString()}, text string")
-    out = out.select("row.*", "text")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        return {"row": b["row"].to_pylist(), "new_text": texts}
+
+    # all columns travel in one struct, so their names cannot clash with those used here
+    rows = _with_spans(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), spans)
+    packed = rows.select("row", F.col("text").cast("binary").alias("raw"), "spans")
+    out = map_batches(packed, run, f"row {packed.schema['row'].dataType.simpleString()}, new_text string")
+    n_chars = F.length("new_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    new = {"text": F.col("new_text"), "n_chars": n_chars}
+    return out.select(*[(new[c] if new.get(c) is not None else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
