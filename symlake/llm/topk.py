@@ -189,3 +189,17 @@ def search(vectors: DataFrame, k: int = 5, is_query: F.Column | None = None, buc
     out = settled(spark, out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
     scratch.drop()
     return out
+
+
+#: The same in DuckDB; products of integers below 2**53 are exact in doubles.
+ORACLE = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as vec from embeddings
+  where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.vec, c.vec)::bigint as score from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.vec) = len(c.vec)
+), r as (
+  select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s
+)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
