@@ -43,9 +43,11 @@ def parsed(messages: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), "\r\n|[\x01\x02]", "\n")
     lines = F.transform(F.split(text, "\n"), lambda x: F.struct(_level(x).alias("level"), _content(x).alias("text")))
     m = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), lines.alias("lines"))
-    # a run begins where the level changes; \x02 stands before it, and \x01 after its level
-    begins = lambda x, i: (i == 0) | (F.get(F.col("lines"), i - 1)["level"] != x["level"])
-    joined = F.array_join(F.transform("lines", lambda x, i: F.concat(F.when(begins(x, i), F.concat(F.lit("\x02"), x["level"].cast("string"), F.lit("\x01"))).otherwise(F.lit("\n")), x["text"])), "")
+    # a run begins where the level changes; \x02 stands before it, and \x01 after its level.  Lines are zipped with
+    # the lines before them: an index into the array within a lambda would compute the array anew for each line
+    before = F.concat(F.array(F.struct(F.lit(-1).alias("level"), F.lit("").alias("text"))), F.slice("lines", 1, F.size("lines") - 1))
+    mark = lambda x, p: F.when(x["level"] != p["level"], F.concat(F.lit("\x02"), x["level"].cast("string"), F.lit("\x01"))).otherwise(F.lit("\n"))
+    joined = F.array_join(F.zip_with("lines", before, lambda x, p: F.concat(mark(x, p), x["text"])), "")
     runs = F.transform(F.split(F.substring(joined, 2, 2147483647), "\x02"), lambda r: F.struct(F.substring_index(r, "\x01", 1).cast("int").alias("level"), F.substring_index(r, "\x01", -1).alias("text")))
     body = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["text"]), "\n")
     return m.select("conv_id", "turn", "role", "lines", runs.alias("runs"), F.regexp_replace(body, r"^[ \t\n\r]+|[ \t\n\r]+$", "").alias("body"))
