@@ -276,3 +276,27 @@ def test_owner_is_the_innermost(spark):
     points = spark.createDataFrame([("f", 6, 0), ("f", 10, 1), ("f", 30, 2)], "path string, line int, __point int")
     got = {r.line: r.name for r in symbols.owned(points, spans, ["path"], "line", "s", "e", [F.desc("s"), "e"]).collect()}
     assert got == {6: "inner", 10: "outer"}
+
+
+def test_evaluation_by_mode(index, spark):
+    from symlake import evaluation
+
+    ix, _ = index
+    cases = spark.createDataFrame([("a", "load_config", ["load_config"], ["service.py"]), ("b", "nothing here matches zzz", ["absent"], None)], evaluation.CASES)
+    metrics, means = evaluation.evaluate(ix, cases)
+    rows = {(r["mode"], r.id): r for r in metrics.collect()}
+    assert rows["fts", "a"].recall_at_5 == 1.0 and rows["fts", "a"].mrr == 1.0 and rows["ripgrep", "a"].recall_at_5 == 1.0 and rows["hybrid", "b"].mrr == 0.0
+    assert {r["mode"]: r.cases for r in means.collect()} == {"fts": 2, "ripgrep": 2, "hybrid": 2, None: 6}
+
+
+def test_fault_localisation_of_a_tree(spark, tree, tmp_path):
+    from symlake import evaluation
+
+    cases = spark.createDataFrame([("p1", "p", "load_config", None, ["service.py"], ["load_config"]), ("p2", "p", "helper", "no such symbol", ["Retry.java"], None)], evaluation.BUG_CASES)
+    metrics, means = evaluation.benchmark(spark, cases, {"p1": str(tree), "p2": str(tree)}, Settings(index_path=str(tmp_path / "ix"), vectors=False))
+    rows = {r.bug_id: r for r in metrics.collect()}
+    assert rows["p1"].file_recall_at_1 == 1.0 and rows["p1"].method_recall_at_10 == 1.0 and rows["p2"].file_recall_at_5 == 1.0 and rows["p2"].method_recall_at_10 is None
+    evaluation.write_json(str(tmp_path / "r.json"), {"cases": metrics, "summary": means})
+    assert len(json.loads((tmp_path / "r.json").read_text())["summary"]) == 3
+    evaluation.write_cases(str(tmp_path / "c.yml"), cases)
+    assert yaml_cases(spark, str(tmp_path / "c.yml"), evaluation.BUG_CASES).count() == 2
