@@ -118,7 +118,7 @@ def doc_lines(spark, d):
     return grep.lines(files(spark, d)).select("path", "line", "text")
 
 
-@query(f"with {FILES}, {LINES} select path, (line - 1) // 5 as chunk, min(line) as line_start, max(line) as line_end, string_agg(text, chr(10) order by line) as content, case when count(*) = 5 then 'function_chunk' else 'symbol_profile' end as unit_type from lines group by 1, 2")
+@query(f"with {FILES}, {LINES} select path, ((line - 1) // 5)::bigint as chunk, min(line) as line_start, max(line) as line_end, string_agg(text, chr(10) order by line) as content, case when count(*) = 5 then 'function_chunk' else 'symbol_profile' end as unit_type from lines group by 1, 2")
 def line_chunks(spark, d):
     """Chunks of five lines, cut from arrays without a shuffle."""
     f = files(spark, d).select("path", F.split("content", "\n").alias("l")).withColumn("l", F.when(F.element_at("l", -1) == "", F.slice("l", 1, F.size("l") - 1)).otherwise(F.col("l"))).where(F.size("l") > 0)
