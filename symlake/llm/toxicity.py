@@ -35,6 +35,8 @@ QUOTES = "\"“”„«»‘’"
 SAMPLE = {1: 4_000, 0: 16_000}
 LEARNT, BEGINNINGS = 2_000, (4, 5, 6)
 WINDOW, THRESHOLD = 8, 0.5
+#: Characters of texts whose words are held at once.
+CHARS_AT_ONCE = 1 << 20
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 
@@ -146,10 +148,18 @@ class Scorer:
 
     def batch(self, texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
         """For each text: (term, edits, word, context) of its hits; context under 1 speaks for quotation, over 1 for abuse."""
-        low = [(t or "").lower() for t in texts]
-        split = [WORD.findall(t) for t in low]
-        known = self.hits(set().union(*split)) if split else {}
-        return [[] if known.keys().isdisjoint(words) else self._windows(t, known) for t, words in zip(low, split, strict=True)]
+        out: list[list[tuple[int, int, str, float]]] = []
+        at = 0
+        while at < len(texts):  # some texts at a time, as words take many times the memory of their text
+            end, size = at + 1, len(texts[at] or "")
+            while end < len(texts) and size + len(texts[end] or "") <= CHARS_AT_ONCE:
+                size, end = size + len(texts[end] or ""), end + 1
+            low = [(t or "").lower() for t in texts[at:end]]
+            split = [WORD.findall(t) for t in low]
+            known = self.hits(set().union(*split))
+            out += [[] if known.keys().isdisjoint(words) else self._windows(t, known) for t, words in zip(low, split, strict=True)]
+            at = end
+        return out
 
     def _windows(self, text: str, known: dict[str, tuple[int, int]]) -> list[tuple[int, int, str, float]]:
         tokens = [(m.group(), m.start(), m.end()) for m in WORD.finditer(text)]
