@@ -129,12 +129,13 @@ def _candidates(entries: DataFrame) -> DataFrame:
     return entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
 
 
-def _verify(docs: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFrame:
+def _verify(docs: DataFrame, edges: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """u, v: the candidates whose shingles are similar enough.
 
     The shingles of a star's centre go to each of its groups of about SALT neighbours, those of a neighbour to its group.
     """
-    size = edges.groupBy("a").agg(F.ceil(F.count("*") / SALT).alias("salts"))
+    # written, so that the join below splits a centre with very many neighbours
+    size = scratch.write(edges.groupBy("a").agg(F.ceil(F.count("*") / SALT).alias("salts")))
     salted = edges.join(size, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts"))
     centres = size.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).select("node", F.col("node").alias("centre"), "salt")
     places = salted.select(F.col("b").alias("node"), F.col("a").alias("centre"), "salt").unionByName(centres)
@@ -182,7 +183,7 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     edges = scratch.write(_candidates(_entries(texts, width, words)).distinct())
     release_shuffles(spark)
     tuned(spark)
-    similar = scratch.write(_verify(docs, edges, texts))
+    similar = scratch.write(_verify(docs, edges, texts, scratch))
     release_shuffles(spark)
     roots = components(similar, scratch)
     groups = texts.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("first").alias("first"))
