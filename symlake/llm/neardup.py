@@ -1,15 +1,13 @@
-"""Near-duplicate documents by wide SimHash signatures: one document of each group stays.
+"""Near-duplicate documents by bands of minimal hashes: one document of each group stays.
 
-Texts that are equal but for case of A-Z and white space are put together.  A signature
-has SEGMENTS segments of a width that follows the number of texts, so that unrelated
-texts seldom share one, and CHECK bits more.  Each segment is indexed once for each of
-its bits with that bit left out; texts that agree on an entry and on most check bits are
-candidates, of which a bucket gives a spanning forest.  Every candidate is then verified:
-its two sets of FIVE-word shingles must have a Jaccard similarity of SIMILAR or more.
+Texts that are equal but for case of A-Z and white space are put together.  A text has
+BANDS keys, each of ROWS minima of its FIVE-word shingles' hashes under functions of their
+own; texts that share a key are candidates.  Every candidate is then verified: its two
+sets of shingles must have a Jaccard similarity of SIMILAR or more.
 
-A pair of similarity 0.8 has segments that differ in one bit at most with a probability
-of about 0.3 each, so of eight segments one does in nineteen of twenty cases; more
-similar pairs are missed less.  tests/llm measure this against all pairs.
+A pair of similarity s shares a key with probability 1 - (1 - s**ROWS)**BANDS, however its
+texts differ and whatever the number of rows: one in two million pairs of similarity 0.8
+shares none, and fewer of more similar ones.
 
 Defined results: blank and null texts are copies of each other; of a group the row with
 the smallest doc_id stays (null last), of equal rows one; other columns are kept as they are.
@@ -17,8 +15,6 @@ the smallest doc_id stays (null last), of equal rows one; other columns are kept
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,30 +22,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, _arrow, release_shuffles, settled, tuned
-from .simhash import _mix, _step, components, forest, shingle_hashes
+from .simhash import _mix, _step, components, shingle_hashes
 
-SEGMENTS, CHECK, NEAR = 8, 64, 16
-#: Words in the shingles of signatures, and in those of the similarity.
-SIGNED, FIVE, SIMILAR = 3, 5, 0.8
+BANDS, ROWS = 48, 6
+#: Words in a shingle, and the similarity of near-duplicates.
+FIVE, SIMILAR = 5, 0.8
 #: Neighbours of one text that are verified in one group.
 SALT = 256
 
 
-def signature(hashes: np.ndarray, words: int) -> np.ndarray:
-    """64-bit words of a signature; each takes the majority of the hashes mixed anew."""
-    out = np.zeros(words, np.uint64)
-    for k in range(words if len(hashes) else 0):
-        count = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), 4096):
-            h = _mix(hashes[at : at + 4096] + _step(k + 1))
-            count += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        out[k] = int.from_bytes(np.packbits(2 * count > len(hashes)).tobytes(), "big")
-    return out
+#: Odd factors, one for each minimum.
+FACTORS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _step(1)) | np.uint64(1)
 
 
-def width_for(texts: int) -> int:
-    """Bits of a segment: with these, an entry has less than one unrelated text on average."""
-    return min(32, max(12, math.ceil(math.log2(max(2, texts))) + 2))
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """The keys of a text; the minimum under a function is a factor's least product with a hash, modulo 2**64."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 128):
+        np.minimum(least, (hashes[at : at + 128, None] * FACTORS).min(0), out=least)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        key = _mix(key * _step(1) + least[k::ROWS])
+    return key
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -62,62 +58,56 @@ def _rid() -> F.Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("\x00")))
 
 
-def _signed(docs: DataFrame, words: int) -> DataFrame:
-    schema = "rid long, doc_id long, tkey long, sig binary"
+def _signed(docs: DataFrame) -> DataFrame:
+    schema = "rid long, doc_id long, tkey long, bands binary"
     target = _arrow(schema)
 
     def run(batches):
         for b in batches:
-            keys, sigs = [], []
+            keys, packed = [], []
             for raw in b["raw"].to_pylist():
                 line = b" ".join((raw or b"").lower().split())
                 keys.append(xxhash.xxh64_intdigest(line, 1))
-                sigs.append(signature(shingle_hashes(line, SIGNED), words).tobytes())
-            yield pa.RecordBatch.from_arrays([b["rid"], b["doc_id"], pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sigs, pa.binary())], schema=target)
+                packed.append(bands(shingle_hashes(line, FIVE)).tobytes())
+            yield pa.RecordBatch.from_arrays([b["rid"], b["doc_id"], pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(packed, pa.binary())], schema=target)
 
     return docs.select(_rid().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, schema)
 
 
-def _entries(texts: DataFrame, width: int, words: int) -> DataFrame:
-    """key, node, check for each segment of each signature and each bit of it left out."""
-    target = _arrow("key long, node long, check long")
+def _entries(texts: DataFrame) -> DataFrame:
+    """key, node for each key of each text."""
+    target = _arrow("key long, node long")
 
     def run(batches):
         for b in batches:
-            sig = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint64).reshape(-1, words)
-            node, check = b["node"], pa.array(sig[:, -1].view(np.int64).copy())
-            bits = np.unpackbits(sig[:, :-1].astype(">u8").view(np.uint8).reshape(len(sig), -1), axis=1)
-            for s in range(SEGMENTS):
-                value = bits[:, s * width : (s + 1) * width].astype(np.uint64) @ (np.uint64(1) << np.arange(width, dtype=np.uint64))
-                for j in range(width):
-                    key = _mix((value & ~np.uint64(1 << j)) + _mix(np.full(len(value), s * 64 + j + 1, np.uint64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), node, check], schema=target)
+            found = [np.frombuffer(x, np.int64) for x in b["bands"].to_pylist()]
+            key = np.concatenate([np.zeros(0, np.int64), *found])
+            node = np.repeat(b["node"].to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], schema=target)
 
-    return texts.select("node", "sig").mapInArrow(run, "key long, node long, check long")
+    return texts.select("node", "bands").mapInArrow(run, "key long, node long")
 
 
 def _candidates(entries: DataFrame) -> DataFrame:
-    """a, b: spanning forests of the buckets over texts whose check bits are near; a is the smaller node of its star."""
+    """a, b: the pairs of each bucket; a is the smaller node."""
     target = _arrow("a long, b long")
 
-    def flush(key, node, check):
+    def flush(key, node):
         edge = np.flatnonzero(key[1:] != key[:-1]) + 1
         begin, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
         two = begin[end - begin == 2]
-        two = two[np.bitwise_count(check[two] ^ check[two + 1]) <= NEAR]
         left, right = [node[two]], [node[two + 1]]
         more = end - begin > 2
         for s, e in zip(begin[more].tolist(), end[more].tolist(), strict=True):
-            if found := forest(check[s:e], NEAR):
-                a, b = np.array(found).T
-                left.append(node[s:e][a])
-                right.append(node[s:e][b])
+            for k in range(s, e - 1):
+                left.append(np.full(e - k - 1, node[k]))
+                right.append(node[k + 1 : e])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], schema=target)
 
     def run(batches):
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
         for b in batches:
-            new = [b["key"].to_numpy(), b["node"].to_numpy(), b["check"].to_numpy().view(np.uint64)]
+            new = [b["key"].to_numpy(), b["node"].to_numpy()]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
             last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if last:
@@ -174,13 +164,11 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     spark = tuned(docs.sparkSession)
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "text")
-    width = width_for(docs.count())
-    words = -(-SEGMENTS * width // 64) + 1
-    base = scratch.write(_signed(docs, words))
+    base = scratch.write(_signed(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")
-    texts = scratch.write(base.groupBy(F.col("tkey").alias("node")).agg(first, F.min("sig").alias("sig")).withColumn("rid", F.col("first.rid")))
+    texts = scratch.write(base.groupBy(F.col("tkey").alias("node")).agg(first, F.min("bands").alias("bands")).withColumn("rid", F.col("first.rid")))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")  # rows are narrow here
-    edges = scratch.write(_candidates(_entries(texts, width, words)).distinct())
+    edges = scratch.write(_candidates(_entries(texts)).distinct())
     release_shuffles(spark)
     tuned(spark)
     similar = scratch.write(_verify(docs, edges, texts, scratch))

@@ -144,6 +144,29 @@ def test_near_duplicates_against_all_pairs(docs, documents):
     assert set(want) <= set(got) and len(got) - len(want) <= 1  # a pair is missed in one of twenty cases or less
 
 
+def _random_words(rng, n):
+    return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+
+def _edited(rng, words, edits):
+    out = list(words)
+    for k in rng.sample(range(len(words) // 10), edits):  # far enough apart that each changes five shingles
+        out[10 * k + 5] = f"x{rng.randrange(10**9)}"
+    return out
+
+
+def test_near_duplicates_at_the_bound(spark):
+    """Pairs of similarity 0.8 to 0.82, by appended text and by scattered edits; none may be missed."""
+    rng, rows = random.Random(5), []
+    for k in range(400):
+        words = _random_words(rng, 200)
+        other = words + _random_words(rng, 49) if k % 2 else _edited(rng, words, 4)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    kept = {r.doc_id for r in neardup.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted(kept - set(range(0, 800, 2))) == []
+    assert len(kept) == 400
+
+
 def test_sharding_is_the_heaps(docs, documents):
     rows = sharding.assign(docs).collect()
     groups = defaultdict(int)
