@@ -2,8 +2,11 @@
 
 Texts that are equal but for case of A-Z and white space are put together.  A text has
 BANDS keys, each of ROWS minima of its FIVE-word shingles' hashes under functions of their
-own; texts that share a key are candidates.  Every candidate is then verified: its two
-sets of shingles must have a Jaccard similarity of SIMILAR or more.
+own; texts that share a key are in a bucket.  Of a bucket, first one member is compared
+with all others: two texts are linked if their sets of shingles have a Jaccard similarity
+of SIMILAR or more.  While a bucket has members that no links connect, members of its
+smaller parts are compared with those of all other parts, four times as many in each
+round; so all pairs of a bucket are compared but those that links connect anyway.
 
 A pair of similarity s shares a key with probability 1 - (1 - s**ROWS)**BANDS, however its
 texts differ and whatever the number of rows: one in two million pairs of similarity 0.8
@@ -27,6 +30,8 @@ from .simhash import _mix, _step, components, shingle_hashes
 BANDS, ROWS = 48, 6
 #: Words in a shingle, and the similarity of near-duplicates.
 FIVE, SIMILAR = 5, 0.8
+#: Members that a bucket compares with all others in the first round, where it has more than a few; the growth of that.
+HUBS, FEW, GROWTH = 1, 3, 4
 #: Neighbours of one text that are verified in one group.
 SALT = 256
 
@@ -88,35 +93,71 @@ def _entries(texts: DataFrame) -> DataFrame:
     return texts.select("node", "bands").mapInArrow(run, "key long, node long")
 
 
-def _candidates(entries: DataFrame) -> DataFrame:
-    """a, b: the pairs of each bucket; a is the smaller node."""
-    target = _arrow("a long, b long")
+def _candidates(members: DataFrame, hubs: int) -> DataFrame:
+    """a, b, key, more: pairs of members (key, node, root) of one bucket and different roots; a is the one that is compared with many.
 
-    def flush(key, node):
+    Members that have such pairs left come back as (node, node, key, true).
+    """
+    schema = "a long, b long, key long, more boolean"
+    target = _arrow(schema)
+
+    def flush(key, node, root):
         edge = np.flatnonzero(key[1:] != key[:-1]) + 1
         begin, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
         two = begin[end - begin == 2]
-        left, right = [node[two]], [node[two + 1]]
+        two = two[root[two] != root[two + 1]]
+        left, right, rest = [two], [two + 1], [np.zeros(0, np.int64)]
         more = end - begin > 2
         for s, e in zip(begin[more].tolist(), end[more].tolist(), strict=True):
-            for k in range(s, e - 1):
-                left.append(np.full(e - k - 1, node[k]))
-                right.append(node[k + 1 : e])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], schema=target)
+            _, part, size = np.unique(root[s:e], return_inverse=True, return_counts=True)
+            order = np.lexsort((part, size[part]))  # members of small parts first, the largest part last
+            outside = e - s - int(size[part[order[-1]]])
+            take = outside if outside <= max(hubs, FEW) else hubs
+            for k in range(take):
+                others = order[k + 1 :][part[order[k + 1 :]] != part[order[k]]]
+                left.append(np.full(len(others), s + order[k]))
+                right.append(s + others)
+            if take < outside:
+                rest.append(s + order[take:])
+        left, right, rest = map(np.concatenate, (left, right, rest))
+        yield pa.RecordBatch.from_arrays([pa.array(node[left]), pa.array(node[right]), pa.array(key[left]), pa.array(np.zeros(len(left), bool))], schema=target)
+        yield pa.RecordBatch.from_arrays([pa.array(node[rest]), pa.array(node[rest]), pa.array(key[rest]), pa.array(np.ones(len(rest), bool))], schema=target)
 
     def run(batches):
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        held = [np.zeros(0, np.int64)] * 3
         for b in batches:
-            new = [b["key"].to_numpy(), b["node"].to_numpy()]
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            held = [np.concatenate(x) for x in zip(held, [b[x].to_numpy() for x in ("key", "node", "root")], strict=True)]
             last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if last:
-                yield flush(*(x[:last] for x in held))
+                yield from flush(*(x[:last] for x in held))
                 held = [x[last:] for x in held]
         if len(held[0]):
-            yield flush(*held)
-
-    return entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
+            yield from flush(*held)
+
+    return members.select("key", "node", "root").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
+
+
+def _components(docs: DataFrame, entries: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, root of the texts that have near-duplicates: what the similar pairs of all buckets of entries (key, node) connect."""
+    spark = docs.sparkSession
+    members, hubs, tested, similar, roots = entries.withColumn("root", F.col("node")), HUBS, None, None, None
+    while True:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")  # rows are narrow here
+        out = scratch.write(_candidates(members, hubs))
+        pairs = out.where("not more").select("a", "b").distinct()
+        edges = scratch.write(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        release_shuffles(spark)
+        tuned(spark)
+        found = scratch.write(_verify(docs, edges, texts, scratch))
+        release_shuffles(spark)
+        tested = edges if tested is None else tested.unionByName(edges)
+        similar = found if similar is None else similar.unionByName(found)
+        if roots is None or not found.isEmpty():
+            roots = components(similar, scratch)
+        rest = out.where("more").select("key", F.col("a").alias("node"))
+        if rest.isEmpty():
+            return roots
+        members, hubs = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), hubs * GROWTH
 
 
 def _verify(docs: DataFrame, edges: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -167,13 +208,7 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     base = scratch.write(_signed(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")
     texts = scratch.write(base.groupBy(F.col("tkey").alias("node")).agg(first, F.min("bands").alias("bands")).withColumn("rid", F.col("first.rid")))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")  # rows are narrow here
-    edges = scratch.write(_candidates(_entries(texts)).distinct())
-    release_shuffles(spark)
-    tuned(spark)
-    similar = scratch.write(_verify(docs, edges, texts, scratch))
-    release_shuffles(spark)
-    roots = components(similar, scratch)
+    roots = _components(docs, _entries(texts), texts, scratch)
     groups = texts.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("first").alias("first"))
     out = settled(spark, groups.select("first.rid"))
     scratch.drop()

@@ -167,6 +167,49 @@ def test_near_duplicates_at_the_bound(spark):
     assert len(kept) == 400
 
 
+def _smallest_of_groups(rows):
+    sets = {i: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {find(i) for i in sets}
+
+
+def test_near_duplicates_within_loose_families(spark):
+    """Buckets whose members are mostly less similar than the bound: the pairs above it must be found all the same."""
+    rng, rows = random.Random(6), []
+    base = _random_words(rng, 200)
+    family = [_edited(rng, base, 5) for _ in range(300)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(family)]
+    rows += [(1000 + k, " ".join(w[:98] + ["y"] + w[99:])) for k, w in enumerate(family[:40])]
+    kept = {r.doc_id for r in neardup.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(_smallest_of_groups(rows))
+
+
+def test_near_duplicates_of_one_bucket(spark):
+    """A hub that is compared first and fails must not hide the pair behind it."""
+    rng, rows = random.Random(7), []
+    for k in range(20):
+        base = _random_words(rng, 200)
+        near = _edited(rng, base, 6)
+        rows += [(10 * k + j, " ".join(w)) for j, w in enumerate([*(_edited(rng, base, 6) for _ in range(7)), near, near[:98] + ["y"] + near[99:]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rid", neardup._rid())
+    scratch = Scratch(spark)
+    texts = scratch.write(docs.selectExpr("doc_id as node", "rid"))
+    entries = texts.selectExpr("node div 10 as key", "node")
+    got = {(r.node, r.root) for r in neardup._components(docs, entries, texts, scratch).collect()}
+    assert got >= {(10 * k + 8, 10 * k + 7) for k in range(20)} and len(got) <= 40
+    scratch.drop()
+
+
 def test_sharding_is_the_heaps(docs, documents):
     rows = sharding.assign(docs).collect()
     groups = defaultdict(int)
