@@ -11,6 +11,7 @@ score 0; repeated rows give repeated results.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from itertools import repeat
 
 import numpy as np
@@ -124,7 +125,10 @@ class Scanner:
         self.base = [(b" " + b" ".join(words_of(p.encode())) + b" ", label) for p, label in base.items()]
 
     def spans(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
-        """(template, first word, last word, part of the template covered) of the chains in a text, the best for each template."""
+        """(template, first word, last word, part of the template covered) of the chains in a text.
+
+        Of each template: the best chain, and every other of MIN_COVER or more that does not overlap a better one.
+        """
         number = np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words))
         edge = np.flatnonzero(np.diff(np.concatenate([[False], number >= 0, [False]]).astype(np.int8)))
         begin, end = edge[::2], edge[1::2]
@@ -137,14 +141,23 @@ class Scanner:
                         found.setdefault(t, []).append((b + at, place, size))
         out = []
         for t, matches in found.items():
-            best, chains = (0, 0, 0), []  # a chain: covered words, first word, last word, next place in template
+            every, chains = [], []  # a chain: covered words, first word, last word, next place in template
             for at, place, size in sorted(matches):
                 fitting = [c for c in chains if 0 <= at - c[2] - 1 <= MAX_GAP and c[3] <= place <= c[3] + MAX_GAP]
                 prior = max(fitting, default=None)
                 chain = (size + (prior[0] if prior else 0), prior[1] if prior else at, at + size - 1, place + size)
                 chains = [c for c in chains if c[2] + MAX_GAP + 1 >= at] + [chain]
-                best = max(best, chain[:3], key=lambda c: c[0])
-            out.append((t, best[1], best[2], best[0] / len(self.texts[t])))
+                every.append(chain[:3])
+            every.sort(key=lambda c: -c[0])
+            kept: list[tuple[int, int]] = []  # (first word, last word), apart and in order
+            for covered, first, last in every:
+                part = covered / len(self.texts[t])
+                if kept and part < MIN_COVER:
+                    break
+                k = bisect_left(kept, (first, last))
+                if (k == 0 or kept[k - 1][1] < first) and (k == len(kept) or kept[k][0] > last):
+                    kept.insert(k, (first, last))
+                    out.append((t, first, last, part))
         return out
 
     def scan(self, raw: bytes | None) -> dict:

@@ -79,6 +79,15 @@ def test_licences_base_places(docs, documents):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_licences_repeated_in_one_text(spark):
+    """Every notice of a text is reported, not only the best of its template."""
+    notice, other = "Released under the MIT License.", "word " * 60
+    texts = spark.createDataFrame([(1, f"{notice} {other}{notice} {other}{notice}"), (2, notice + " " + notice)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in licences.scan(texts).collect()}
+    assert [(s.label, s.first, s.last) for s in rows[1].spans] == [("mit", 0, 4), ("mit", 65, 69), ("mit", 130, 134)]
+    assert [(s.label, s.first, s.last) for s in rows[2].spans] == [("mit", 0, 4), ("mit", 5, 9)]
+
+
 def test_licences_labels_and_spans(docs):
     rows = {r.doc_id: r for r in licences.scan(docs).collect()}
     assert (rows[406].labels, rows[406].score) == ("mit", 1.0)
