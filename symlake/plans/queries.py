@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -245,14 +248,47 @@ _LISTS = """lists as (
 
 def _literal_hits(spark, d) -> DataFrame:
     """Documents that hold a benchmark text as it stands."""
-    q = benchmark_queries(spark, d)
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    # an equi-join on the first three tokens of an item keeps texts from meeting every item
-    head = lambda c: F.array_join(F.slice(exprs.tokens(c), 1, 3), " ")
-    keyed = q.withColumnRenamed("text", "item").withColumn("key", head(F.col("item")))
-    grams = docs.select("id", "text", exprs.tokens(F.coalesce("text", F.lit(""))).alias("ts")).withColumn("key", F.explode(F.array_distinct(F.zip_with(F.zip_with("ts", F.slice("ts", 2, F.size("ts")), lambda a, b: F.concat_ws(" ", a, b)), F.slice("ts", 3, F.size("ts")), lambda ab, c: F.concat_ws(" ", ab, c)))))
-    short = grams.select("id", "key").join(keyed.select("query_id", "key", "item"), "key").join(docs, "id").where(F.col("text").contains(F.col("item"))).select("query_id", "id").distinct()
-    return graph.ranked(short, ["query_id"], ["id"], 50)
+    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    found = reduce(DataFrame.unionByName, [_holding(docs, part) for part in _item_parts(_t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))])
+    return graph.ranked(found.distinct(), ["query_id"], ["id"], 50)
+
+
+def _item_parts(items: DataFrame, chars: int = 8 << 20):
+    """(query_id, text) of the items in parts of a bounded number of characters."""
+    part, size = [], 0
+    for r in items.where("text is not null").select(F.col("query_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
+        part.append((r[0], r[1]))
+        size += len(r[1])
+        if size > chars:
+            yield part
+            part, size = [], 0
+    yield part
+
+
+def _holding(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+    """query_id, id of the items in docs (id, text), anywhere in a text; one pass with an automaton of all items."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+    everywhere = [i for i, t in items if not t]
+
+    def run(batches):
+        at: dict[str, list[int]] = {}
+        for i, t in shared.value:
+            if t:
+                at.setdefault(t, []).append(i)
+        automaton = ahocorasick.Automaton()
+        for t, ids in at.items():
+            automaton.add_word(t, tuple(ids))
+        if at:
+            automaton.make_automaton()
+        for b in batches:
+            hits = []
+            for doc, text in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
+                if text is not None:
+                    ids = {i for _, some in automaton.iter(text) for i in some} if at else set()
+                    hits += [(i, doc) for i in ids.union(everywhere)]
+            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], pa.int64()) for k in (0, 1)], ["query_id", "id"])
+
+    return docs.mapInArrow(run, "query_id long, id long")
 
 
 def _doc_hits(found: DataFrame, method: str) -> DataFrame:

@@ -33,3 +33,13 @@ def test_query(name, spark, duck):
     assert sorted(rel.columns) == sorted(df.columns)
     key = lambda r: tuple(map(str, r))
     assert sorted(rows, key=key) == sorted((tuple(plain(r[k]) for k in at) for r in rel.fetchall()), key=key)
+
+
+def test_literal_hits_of_short_items_and_within_tokens(spark, tmp_path):
+    from symlake.plans.queries import _literal_hits
+
+    docs = [(1, 'He said "amber stone is old".'), (2, "amberstone"), (3, None), (4, "is")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "amber stone is old"), (2, "amber"), (3, "is"), (4, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.query_id, r.id) for r in _literal_hits(spark, str(tmp_path)).collect())
+    assert got == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 4)]
