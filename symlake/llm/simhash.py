@@ -12,11 +12,15 @@ share.  Components then come from alternating large and small stars.
 Equal fingerprints are put together before any of it, so groups of copies cost one row.
 
 Defined results: null and blank texts have fingerprint zero, linked like any other; a
-text of fewer words than a shingle is one shingle; repeated rows share a component.
+text of fewer words than a shingle is one shingle; repeated rows share a component; a
+null doc_id takes part like any other and is no component's id, unless no row of the
+component has an id; a doc_id with several texts may be the id of several components.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -94,7 +98,6 @@ def _segments(bits: list[int], count: int) -> list[list[int]]:
     return [x.tolist() for x in np.array_split(np.array(bits), count)]
 
 
-
 def _step(k: int) -> np.uint64:
     """The k-th multiple of an odd number, modulo 2**64."""
     return np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
@@ -133,6 +136,23 @@ def _entries(rows: DataFrame, distance: int) -> DataFrame:
     return rows.select("key", "shared", "fp").mapInArrow(run, "key long, shared long, fp long")
 
 
+def whole_keys(parts: Iterable[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """Columns of batches sorted by their first column, put together so that no key is cut; a key of many batches is joined once."""
+    held: list[list[np.ndarray]] = []
+    for new in parts:
+        if not len(new[0]):
+            continue
+        last = int(np.searchsorted(new[0], new[0][-1]))  # the last key may go on in the next batch
+        if held and held[-1][0][-1] != new[0][-1]:
+            yield [np.concatenate(x) for x in zip(*held, [x[:last] for x in new], strict=True)]
+            held = []
+        elif last:
+            yield [x[:last] for x in new]
+        held.append([x[last:] for x in new])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def _verified(entries: DataFrame, distance: int, large: int) -> DataFrame:
     """a, b, shared, key: links of the spanning forests of all buckets (shared 0).
 
@@ -161,17 +181,8 @@ def _verified(entries: DataFrame, distance: int, large: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], schema=target)
 
     def run(batches):
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
-        for b in batches:
-            new = [b["key"].to_numpy(), b["shared"].to_numpy(), b["fp"].to_numpy().view(np.uint64)]
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
-            keys = held[0]
-            last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            if last:  # the last key may go on in the next batch
-                yield flush(*(x[:last] for x in held))
-                held = [x[last:] for x in held]
-        if len(held[0]):
-            yield flush(*held)
+        for key, shared, fp in whole_keys([b["key"].to_numpy(), b["shared"].to_numpy(), b["fp"].to_numpy().view(np.uint64)] for b in batches):
+            yield flush(key, shared, fp)
 
     return entries.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, shared long, key long")
 
@@ -225,11 +236,12 @@ def group(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> Data
     spark = tuned(docs.sparkSession)
     scratch = Scratch(spark)
     fps = scratch.write(fingerprints(docs, words))
-    nodes = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    nodes = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = links(nodes, scratch, distance)
-    edges = found.join(nodes.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b").select("u", "v")
-    roots = components(edges, scratch)
-    classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    # components are those of fingerprints; ids come in at the end, so null and repeated ids connect nothing
+    roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+    rooted = scratch.write(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    classes = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     out = settled(spark, fps.join(classes, "fp").select("doc_id", "fp", "component_id"))
     scratch.drop()
     return out
