@@ -5,9 +5,15 @@ may lie in a text with up to n // EDIT_EVERY edits; cut into one piece more than
 one of its pieces stands in the text unchanged.  One Aho-Corasick pass finds the pieces
 of all items; around the hits, Myers' bit-parallel distance decides.
 
-Defined results: null and empty texts and items, and items of fewer than MIN_ITEM
-characters, match nothing; repeated rows give repeated results; of several places of an
-item in a text the one of the smallest distance, then the first, is given.
+Items of fewer than MIN_ITEM characters allow no edits and would stand in most texts by
+chance; they match where a whole line of a text, or the whole text, equals them.
+
+Items are matched by their text and ids come in afterwards, so an item without an id and
+items that share an id are found like any other.
+
+Defined results: null and empty texts and items match nothing; repeated rows of documents
+give repeated results, repeated rows of items count once; a null id stays null; of several
+places of an item in a text the one of the smallest distance, then the first, is given.
 """
 
 from __future__ import annotations
@@ -64,15 +70,17 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 
 
 class Matcher:
-    """Items compiled for matching."""
+    """Item texts, which are different and normal, compiled for matching; results name them by their places in the list."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items = {i: t for i, t in items}
-        self.budget = {i: len(t) // EDIT_EVERY for i, t in self.items.items()}
+    def __init__(self, items: list[str]):
+        self.items = items
+        self.budget = [len(t) // EDIT_EVERY if len(t) >= MIN_ITEM else 0 for t in items]
+        self.lines = {t: i for i, t in enumerate(items) if len(t) < MIN_ITEM}
         at: dict[str, list[tuple[int, int]]] = {}
-        for i, t in self.items.items():
-            for place, piece in pieces(t, self.budget[i]):
-                at.setdefault(piece, []).append((i, place))
+        for i, t in enumerate(items):
+            if len(t) >= MIN_ITEM:
+                for place, piece in pieces(t, self.budget[i]):
+                    at.setdefault(piece, []).append((i, place))
         self.automaton = ahocorasick.Automaton()
         for piece, where in at.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -82,15 +90,24 @@ class Matcher:
             self.automaton = None
 
     def find(self, text: str | None) -> Iterator[tuple[int, int, int]]:
-        """(item, distance, end) of the items that lie in the text within their budgets."""
+        """(item, distance, end) of the items that lie in the text within their budgets; the end is a place in the normal text."""
         line = normal(text)
-        if not line or self.automaton is None:
+        if not line:
             return
-        near: dict[int, list[tuple[int, int]]] = {}
+        if self.lines:
+            yield from self._whole_lines(text)
+        if self.automaton is None:
+            return
+        near: dict[int, list[list[int]]] = {}
         for last, (size, where) in self.automaton.iter(line):
             for i, place in where:
                 begin, e = last + 1 - size - place, self.budget[i]
-                near.setdefault(i, []).append((max(0, begin - e), begin + len(self.items[i]) + e))
+                spans = near.setdefault(i, [])
+                begin, end = max(0, begin - e), begin + len(self.items[i]) + e
+                if spans and spans[-1][0] <= begin <= spans[-1][1]:  # hits of a repetitive text are put together as they come
+                    spans[-1][1] = max(spans[-1][1], end)
+                else:
+                    spans.append([begin, end])
         for i, spans in sorted(near.items()):
             merged: list[list[int]] = []
             for a, z in sorted(spans):
@@ -102,18 +119,37 @@ class Matcher:
             if distance <= self.budget[i]:
                 yield i, distance, end
 
-
-def _passes(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Items in parts of a bounded number of characters."""
-    part, size = [], 0
-    for r in items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").toLocalIterator():
+    def _whole_lines(self, text: str) -> Iterator[tuple[int, int, int]]:
+        found, end = {}, 0
+        for part in map(normal, text.splitlines()):
+            if part:
+                end += len(part) + (end > 0)
+                if part in self.lines:
+                    found.setdefault(self.lines[part], end)
+        whole = normal(text) if len(text) < 64 * MIN_ITEM else ""
+        if whole in self.lines:
+            found.setdefault(self.lines[whole], len(whole))
+        yield from ((i, 0, e) for i, e in sorted(found.items()))
+
+
+def _passes(items: DataFrame) -> Iterator[list[tuple[str, list[int | None]]]]:
+    """(normal text, ids) of the items in parts of a bounded number of characters and ids; a text may come back in another part with other ids."""
+    part, size = {}, 0
+    for r in items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct().toLocalIterator():
         t = normal(r.text)
-        if len(t) >= MIN_ITEM:
-            part, size = [*part, (r.item_id, t)], size + len(t)
+        if t:
+            size += 8 if t in part else 8 + len(t)
+            part.setdefault(t, set()).add(r.item_id)
         if size > PASS_CHARS:
-            yield part
-            part, size = [], 0
-    yield part
+            yield [(t, sorted(x, key=lambda i: (i is None, i))) for t, x in part.items()]
+            part, size = {}, 0
+    yield [(t, sorted(x, key=lambda i: (i is None, i))) for t, x in part.items()]
+
+
+def _matcher(shared, state: list[Matcher]) -> Matcher:
+    if not state:
+        state.append(Matcher([t for t, _ in shared.value]))
+    return state[0]
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -121,14 +157,13 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = tuned(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def one(part: list[tuple[int, str]]) -> DataFrame:
+    def one(part: list[tuple[str, list[int | None]]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(part)  # PASS_CHARS characters at most, and one item
         state: list[Matcher] = []
 
         def run(b):
-            if not state:
-                state.append(Matcher(shared.value))
-            found = [(d, *x, state[0].budget[x[0]]) for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True) for x in state[0].find(t)]
+            m = _matcher(shared, state)
+            found = [(d, item, distance, end, m.budget[i]) for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True) for i, distance, end in m.find(t) for item in shared.value[i][1]]
             cols = list(zip(*found, strict=True)) or [[]] * 5
             return dict(zip(("doc_id", "item_id", "distance", "place_end", "budget"), map(list, cols), strict=True))
 
@@ -145,15 +180,14 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs
 
 
-def _without(spark, docs: DataFrame, part: list[tuple[int, str]]) -> DataFrame:
+def _without(spark, docs: DataFrame, part: list[tuple[str, list[int | None]]]) -> DataFrame:
     shared = spark.sparkContext.broadcast(part)  # PASS_CHARS characters at most, and one item
     state: list[Matcher] = []
 
     def run(batches):
         for b in batches:
-            if not state:
-                state.append(Matcher(shared.value))
+            m = _matcher(shared, state)
             texts = b.column(b.schema.get_field_index("text")).cast("string").to_pylist()
-            yield b.filter(pa.array([next(state[0].find(t), None) is None for t in texts], pa.bool_()))
+            yield b.filter(pa.array([next(m.find(t), None) is None for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
