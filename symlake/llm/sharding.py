@@ -2,9 +2,11 @@
 
 Rows with equal texts form a group and stay together.  Groups, largest first, go to
 the shard with the least load.  Groups of the same number of bytes are alike, so the
-heap runs over classes (bytes, number of groups), not over groups: the driver sees at
-most sqrt(2 x total bytes) classes, however many documents there are, and a class of
-many groups is dealt in closed form with the loads that the heap would give.
+heap runs over classes (bytes, number of groups), not over groups.  Classes stream
+through the driver, largest first, PAGE of them at a time, and what each shard gets of
+them is written to the shared folder page by page; the driver holds the loads of the
+shards and one page, however many classes there are.  A class of many groups is dealt
+in closed form with the loads that the heap would give.
 
 Defined results: a null text has the size and group of an empty one; repeated rows
 are rows of their own with slots of their own; an empty table gives no rows; any
@@ -14,15 +16,18 @@ doc_id may be null.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import accumulate
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, settled, spread
 
 SHARDS = 24
+#: Classes that the driver holds at once.
+PAGE = 100_000
 #: Bytes that a row costs besides its text.
 ROW_BYTES = 8
 
@@ -55,14 +60,25 @@ def deal(loads: list[int], size: int, count: int) -> list[int]:
     return got
 
 
-def schedule(classes: pd.DataFrame, shards: int) -> pd.DataFrame:
-    """For each class (bytes, groups): the shards that get some of it, and up to which rank within the class."""
-    loads, rows = [0] * shards, []
-    for size, count in classes.sort_values("bytes", ascending=False)[["bytes", "groups"]].itertuples(index=False):
-        got = deal(loads, int(size), int(count))
+def schedule(classes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[int], list[int]]]:
+    """For each class (bytes, groups), largest first: the shards that get some of it, and up to which rank within the class."""
+    loads = [0] * shards
+    for size, count in classes:
+        got = deal(loads, size, count)
         to = [k for k, n in enumerate(got) if n]
-        rows.append((int(size), to, np.cumsum([got[k] for k in to]).tolist()))
-    return pd.DataFrame(rows, columns=["bytes", "to", "until"])
+        yield size, to, list(accumulate(got[k] for k in to))
+
+
+def _quotas(classes: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
+    """bytes, to, until of every class, in tables of a page each."""
+    spark, schema = classes.sparkSession, "bytes long, to array<int>, until array<long>"
+    page, parts = [], []
+    for row in schedule(((r.bytes, r.groups) for r in classes.orderBy(F.desc("bytes")).toLocalIterator()), shards):
+        page.append(row)
+        if len(page) == PAGE:
+            parts, page = [*parts, scratch.write(spark.createDataFrame(page, schema))], []
+    parts.append(scratch.write(spark.createDataFrame(page, schema)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _ranked(df: DataFrame, by: list[str], order: list[str], name: str, buckets: int) -> DataFrame:
@@ -83,8 +99,7 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key")))
     same = ["key", "size", "text_crc32"]
     groups = scratch.write(rows.groupBy(*same).agg(F.count("*").alias("n")).withColumn("bytes", F.col("n") * F.col("size")))
-    plan = schedule(groups.groupBy("bytes").agg(F.count("*").alias("groups")).toPandas(), shards)
-    quota = spark.createDataFrame(plan, "bytes long, to array<int>, until array<long>")
+    quota = _quotas(scratch.write(groups.groupBy("bytes").agg(F.count("*").alias("groups"))), shards, scratch)
     placed = _ranked(groups.select(*same, "bytes"), ["bytes"], ["key", "text_crc32", "size"], "rank", buckets).join(quota, "bytes")
     placed = placed.select(*same, F.element_at("to", F.size(F.filter("until", lambda u: u <= F.col("rank"))) + 1).alias("shard"))
     out = _ranked(rows.join(placed, same), ["shard"], ["doc_id", "key"], "slot", buckets)
