@@ -8,7 +8,9 @@ fixed bins.  No labelled row is left out, and nothing but sums reaches the drive
 
 Defined results: null counts as empty; an empty text has statistics of zeros and is
 scored like any other; without labels every score is 0.5, with labels of one class it
-is that class; of contradicting labels of one document the mean counts.
+is that class; of contradicting labels of one document the mean counts; of several
+texts under one labelled doc_id the one with the smallest statistics is learnt from, so
+that fits agree; texts of any length are read whole, one batch of bounded bytes at a time.
 """
 
 from __future__ import annotations
@@ -153,7 +155,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold:
     scratch = Scratch(spark)
     stats = scratch.write(document_statistics(docs))
     known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col(label).cast("double")).alias("y"))
-    labelled = scratch.write(stats.dropDuplicates(["doc_id"]).join(known, "doc_id").select("x", "y"))
+    labelled = scratch.write(stats.join(known, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.first("y").alias("y")).select("x", "y"))
     model = fit(labelled)
 
     def run(b):
