@@ -288,6 +288,40 @@ def test_chat_equals_its_sql(spark):
     assert any(r.n_replies for r in got)
 
 
+def test_chat_links_partial_and_nested_quotes(spark):
+    """Some lines of a message, a line that names the author, and quotations around deeper ones link too; control characters stay."""
+    rows = [
+        (1, 0, "a", "first line\nsecond line\nthird line"), (1, 1, "b", "> second line\n> third line\nyes"), (1, 2, "c", "> Ann wrote:\n> second line\nno"),
+        (1, 3, "d", "> Ben wrote:\n>> second line\n> yes\nfine"), (1, 4, "e", "> unknown\n>> Ben wrote\n>>> third line\nok"), (1, 5, "f", "> not there at all\nhm"), (1, 6, "g", "x\x01y\x02z\x03w"), (1, 7, "h", "> x\x01y\x02z\x03w\nq"),
+    ]
+    got = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    assert sorted(got.replies.split(",")) == ["1>0", "2>0", "3>1", "4>0", "7>6"] and "x\x01y\x02z\x03w" in got.text and got.n_parts == 1
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chat_with_many_quotes_equals_its_sql(spark, seed):
+    """Generated conversations whose messages quote whole messages, parts and quotations, at several levels."""
+    rng, rows = random.Random(seed), []
+    for conv in range(40):
+        said: list[str] = []
+        for turn in range(rng.choice((1, 5, 30, 250))):
+            lines = [" ".join(rng.choice(("amber", "Stone", "is", "old", "> x", "a > b")) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(0, 3))]
+            quoted = []
+            for _ in range(rng.choice((0, 0, 1, 2))):
+                old = rng.choice(said).split("\n") if said else ["nothing"]
+                a = rng.randrange(len(old))
+                quoted += [rng.choice((">", "> ", " >")) + x for x in old[a : a + rng.randint(1, 5)]]
+            said.append("\n".join(quoted + lines))
+            rows.append((conv, turn + rng.randint(0, 1), rng.choice(("user", "assistant")), said[-1]))
+    got = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, got), key=key) == sorted(map(tuple, con.sql(chat.ORACLE).fetchall()), key=key)
+    assert sum(r.n_replies for r in got) > 300
+
+
 def test_chat_strips_quotes_and_handles_nothing(spark):
     schema = "conv_id long, turn long, role string, text string, hash string, level string"
     long = "\n".join("> word" for _ in range(20_000)) + "\nown"
