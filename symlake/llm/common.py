@@ -6,6 +6,7 @@ returns only columns of its own, so extra or clashing columns never matter.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -34,13 +35,13 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one only where none is set and all runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="symlake-")
         spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
     return found
 
 
@@ -48,12 +49,14 @@ class Scratch:
     """Tables written to the shared folder, to cut lineage and to be read more than once.
 
     A lost executor costs nothing here: the files are Parquet in shared storage.
-    drop() removes them once the results that need them are written or checkpointed.
+    drop() removes them once the results that need them are written; what is left goes when the session ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/symlake-{uuid.uuid4().hex}"
         self.n = 0
+        self._fs, self._path = hadoop_path(spark, self.root)
+        self._fs.deleteOnExit(self._path)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -62,14 +65,18 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        self._fs.delete(self._path, True)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Hadoop's objects."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
 
 
 def settled(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of a small result; Spark's cleaner removes it after use."""
-    shared_dir(spark)
-    return df.checkpoint(eager=True)
+    """A result written to the shared folder, where it stays until the session ends; what it was made from may go."""
+    return Scratch(spark).write(df)
 
 
 def as_bytes(name: str = "text") -> F.Column:
