@@ -6,26 +6,33 @@ windows have equal anchors at equal places.  An anchor is home to a range of win
 starts; the bytes of that range are its context.
 
 1. Anchors whose hash stands alone have no repeated window.  Of the others, contexts
-   that occur twice as a whole are repeated as a whole; both are counts on hashes.
+   with the same bytes are repeated as a whole; all but one of them rest from here on.
 2. What remains - one context of each kind at anchors with differing contexts - is
    sorted by the difference-cover algorithm: contexts of one anchor hash lie together,
    a task builds the suffix array of some of them (sampled triples are sorted, named and
    recursed on, the remaining suffixes merged), and compares adjacent prefixes.  As only
    LENGTH bytes count, recursion ends when names stand for that many.
-3. Anchor hashes with more than `hot` contexts (where one passage begins in very many
-   texts) would not fit the memory of a task.  Their windows are counted one by one, by
-   hashes that a shuffle spreads and adds up before it.
+3. Anchors with more than `hot` contexts (where one passage begins in very many texts)
+   are dealt out over tasks before that: a context is cut into pieces of a few starts,
+   and pieces go together if the bytes that all of their windows hold are the same, as
+   equal windows have them in the same place.  Pieces alone are done, equal pieces are
+   repeated as a whole, and the rest is sorted as in 2 or, if there are still very many,
+   cut again into pieces of fewer starts, at last of one.
 
-Counts over hashes use two of 64 bits each (step 1) and one of 64 bits (step 3).
+That bytes are the same is decided in 2 by comparing them, in 1 and 3 by digests of 128
+bits of a cryptographic hash (BLAKE2b), as copies of the bytes in one place would take
+several times the corpus in shuffles.  The hashes of anchors only bring contexts together.
 
 Defined results: null counts as empty; texts under LENGTH bytes keep everything; equal
-rows are copies of each other; a match never crosses texts but may overlap itself.
+rows are copies of each other; a match never crosses texts but may overlap itself; texts
+of any length are read whole, BLOCK starts at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+import struct
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +44,8 @@ from .common import Scratch, _arrow, map_batches, release_shuffles, settled, tun
 LENGTH, RUN = 200, 32
 #: Window starts handled at once, and bytes of contexts that close a suffix array.
 BLOCK, CHUNK = 1 << 17, 1 << 20
-#: Contexts of one anchor that one suffix array takes: with 270 bytes each, about 250 MB of a worker's memory.
-HOT = 10_000
+#: Contexts of one group that one suffix array takes, and starts in the pieces that larger groups are cut into.
+HOT, PIECES = 1_000, (32, 8, 2, 1)
 #: Odd multiplier of the rolling hash, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -75,7 +82,7 @@ def substring_hashes(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np
 
 
 def anchors(raw: bytes) -> list[tuple[np.ndarray, ...]]:
-    """(anchor hash, context hash, anchor, first start, last start) arrays, block by block of window starts."""
+    """(anchor hash, digest of the context in two parts, anchor, first start, last start) arrays, block by block of window starts."""
     out = []
     view = memoryview(raw)
     for block in range(0, len(raw) - LENGTH + 1, BLOCK):
@@ -96,12 +103,17 @@ def anchors(raw: bytes) -> list[tuple[np.ndarray, ...]]:
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         last = np.concatenate([first[1:] - 1, [len(at) - 1]])
         a = at[first]
-        end = last + LENGTH
-        context = _mix(substring_hashes(sums, first, end) ^ ((a - first).astype(np.uint64) << _U(32)) ^ (end - first).astype(np.uint64))
-        out.append((h[a], context, a + block, first + block, last + block))
+        one, two = digests(part, first.tolist(), (last + LENGTH).tolist())
+        out.append((h[a], one, two, a + block, first + block, last + block))
     return out
 
 
+def digests(raw: bytes | memoryview, begin: list[int], end: list[int]) -> np.ndarray:
+    """Two numbers for each substring: its BLAKE2b digest of 128 bits."""
+    blake = hashlib.blake2b
+    return np.frombuffer(b"".join([blake(raw[a:z], digest_size=16).digest() for a, z in zip(begin, end, strict=True)]), np.int64).reshape(-1, 2).T
+
+
 def _dense(key: np.ndarray) -> tuple[np.ndarray, int]:
     """Ranks from 1 in the order of the keys, equal keys equal; and the largest."""
     order = np.argsort(key)
@@ -182,8 +194,9 @@ def repeated_starts(contexts: list[bytes], length: int = LENGTH) -> np.ndarray:
     return np.sort(order[hit])
 
 
-_ANCHORS = "anchor long, context long, rid long, at int, lo int, hi int"
-_SLICES = "anchor long, rid long, lo int, n int, raw binary, window long"
+_ANCHORS = "anchor long, c1 long, c2 long, rid long, at int, lo int, hi int"
+_SLICES = "anchor long, rid long, at int, lo int, n int, hot boolean, raw binary"
+_PIECE = "g1 long, g2 long, c1 long, c2 long, rid long, at int, lo int, hi int, raw binary"
 _SPANS = "rid long, lo int, hi int"
 
 
@@ -202,39 +215,70 @@ def _find_anchors(docs: DataFrame) -> DataFrame:
         for b in batches:
             parts = [(np.full(len(x[0]), rid, np.int64), *x) for rid, raw in zip(b["rid"].to_pylist(), b["raw"].to_pylist(), strict=True) if raw and len(raw) >= LENGTH for x in anchors(raw)]
             if parts:
-                rid, h, c, at, lo, hi = map(np.concatenate, zip(*parts, strict=True))
-                yield _batch(target, h.view(np.int64), c.view(np.int64), rid, at.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32))
+                rid, h, one, two, at, lo, hi = map(np.concatenate, zip(*parts, strict=True))
+                yield _batch(target, h.view(np.int64), one, two, rid, at.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32))
 
     return _numbered(docs).select("rid", F.col("text").cast("binary").alias("raw")).mapInArrow(run, _ANCHORS)
 
 
 def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the wanted contexts (rid, list of anchor, lo, hi, n, hot); of hot ones the hash of every window."""
+    """The bytes of the wanted contexts (rid, list of anchor, at, lo, hi, n, hot)."""
     target = _arrow(_SLICES)
 
     def run(batches):
         for b in batches:
-            rows, hashed = [], []
             for rid, raw, all_ in zip(b["rid"].to_pylist(), b["raw"].to_pylist(), b["all"].to_pylist(), strict=True):
-                for x in all_:
-                    part = raw[x["lo"] : x["hi"] + LENGTH]
-                    if x["hot"]:
-                        start = np.arange(x["hi"] - x["lo"] + 1)
-                        hashed.append((rid, x["lo"], x["n"], _mix(substring_hashes(prefix_sums(part), start, start + LENGTH)).view(np.int64)))
-                    else:
-                        rows.append((x["anchor"], rid, x["lo"], x["n"], part, None))
-            yield _batch(target, *(list(zip(*rows, strict=True)) or [[]] * 6))
-            for k in range(0, len(hashed), 1024):
-                some = hashed[k : k + 1024]
-                size = [len(h[3]) for h in some]
-                start = np.concatenate([np.arange(lo, lo + len(h), dtype=np.int32) for _, lo, _, h in some])
-                same = lambda i, t, some=some, size=size: np.repeat(np.array([h[i] for h in some], t), size)
-                yield _batch(target, np.zeros(len(start), np.int64), same(0, np.int64), start, same(2, np.int32), [None] * len(start), np.concatenate([h[3] for h in some]))
+                for k in range(0, len(all_), 4096):
+                    rows = [(x["anchor"], rid, x["at"], x["lo"], x["n"], x["hot"], raw[x["lo"] : x["hi"] + LENGTH]) for x in all_[k : k + 4096]]
+                    yield _batch(target, *zip(*rows, strict=True))
 
     texts = _numbered(docs).select("rid", F.col("text").cast("binary").alias("raw"))
     return texts.join(wanted, "rid").select("rid", "raw", "all").mapInArrow(run, _SLICES)
 
 
+def pieces(at: int, lo: int, raw: bytes, width: int) -> list[tuple[int, int, int]]:
+    """(distance, first start, last start) of the pieces of a context: starts whose distance to the anchor is alike but for `width`."""
+    far, near = at - lo, at - (lo + len(raw) - LENGTH)
+    return [(d, at - min(far, d + width - 1), at - max(near, d)) for d in range(near // width * width, far + 1, width)]
+
+
+def _dealt(contexts: DataFrame, width: int) -> DataFrame:
+    """Pieces of contexts (group, rid, at, lo, raw) with digests of what their windows have in common (with the group) and of the whole."""
+    target = _arrow(_PIECE)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for group, rid, at, lo, raw in zip(*(b[c].to_pylist() for c in ("group", "rid", "at", "lo", "raw")), strict=True):
+                for d, first, last in pieces(at, lo, raw, width):
+                    piece = raw[first - lo : last - lo + LENGTH]
+                    common = raw[at - d - lo : at - d - width + 1 - lo + LENGTH]
+                    (g1, c1), (g2, c2) = digests(struct.pack("<qi", group, d) + common + piece, [0, 12 + len(common)], [12 + len(common), 12 + len(common) + len(piece)]).tolist()
+                    rows.append((g1, g2, c1, c2, rid, at, first, last, piece))
+            yield _batch(target, *(list(zip(*rows, strict=True)) or [[]] * 9))
+
+    return contexts.select("group", "rid", "at", "lo", "raw").mapInArrow(run, _PIECE)
+
+
+def _deal_out(contexts: DataFrame, scratch: Scratch, hot: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(spans that are repeated as a whole, contexts to sort: anchor, rid, lo, n, raw) of groups of very many contexts."""
+    spark, group, kind = contexts.sparkSession, ["g1", "g2"], ["g1", "g2", "c1", "c2"]
+    spans, rest = [], []
+    now = contexts.select(F.col("anchor").alias("group"), "rid", "at", "lo", "raw")
+    for width in PIECES:
+        made = scratch.write(_dealt(now, width))
+        kinds = scratch.write(made.groupBy(*kind).agg(F.count("*").cast("int").alias("n"), F.min(F.struct("rid", "at", "lo", "raw")).alias("one")))
+        spans.append(scratch.write(made.join(kinds.where("n > 1").select(*kind), kind).select("rid", "lo", "hi")))
+        several = kinds.groupBy(*group).agg(F.count("*").alias("k")).where("k > 1")
+        left = scratch.write(kinds.join(several, group).select(F.col("g1").alias("anchor"), "k", "n", "one.*"))
+        release_shuffles(spark)
+        rest.append(left.where(F.col("k") <= hot).select("anchor", "rid", "lo", "n", "raw"))
+        now = left.where(F.col("k") > hot).select(F.col("anchor").alias("group"), "rid", "at", "lo", "raw")
+        if now.isEmpty():
+            break
+    return spans, rest
+
+
 def _sort_contexts(slices: DataFrame) -> DataFrame:
     """Spans of repeated windows of contexts that occur once, from suffix arrays of whole anchors' contexts."""
     target = _arrow(_SPANS)
@@ -272,24 +316,24 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFra
     spark = tuned(docs.sparkSession)
     found = scratch.write(_find_anchors(docs))
     # written, so that the join below splits anchors that very many texts share
-    shared = scratch.write(found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("alike")).where("n > 1").drop("n"))
+    alike = (F.min("c1") == F.max("c1")) & (F.min("c2") == F.max("c2"))
+    shared = scratch.write(found.groupBy("anchor").agg(F.count("*").alias("n"), alike.alias("alike")).where("n > 1").drop("n"))
     rep = scratch.write(found.join(shared, "anchor"))
     release_shuffles(spark)
-    kinds = scratch.write(rep.where("not alike").groupBy("anchor", "context").agg(F.count("*").cast("int").alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("one")))
-    whole = rep.where("alike").select("rid", "lo", "hi").unionByName(rep.where("not alike").join(kinds.where("n > 1").select("anchor", "context"), ["anchor", "context"]).select("rid", "lo", "hi"))
+    kind = ["anchor", "c1", "c2"]
+    kinds = scratch.write(rep.where("not alike").groupBy(*kind).agg(F.count("*").cast("int").alias("n"), F.min(F.struct("rid", "at", "lo", "hi")).alias("one")))
+    whole = rep.where("alike").select("rid", "lo", "hi").unionByName(rep.where("not alike").join(kinds.where("n > 1").select(*kind), kind).select("rid", "lo", "hi"))
     whole = scratch.write(whole)
     many = scratch.write(kinds.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("anchor", F.lit(True).alias("hot")))
     wanted = kinds.join(many, "anchor", "left").select("anchor", "n", "one.*", F.coalesce("hot", F.lit(False)).alias("hot"))
-    wanted = wanted.groupBy("rid").agg(F.collect_list(F.struct("anchor", "lo", "hi", "n", "hot")).alias("all"))
+    wanted = wanted.groupBy("rid").agg(F.collect_list(F.struct("anchor", "at", "lo", "hi", "n", "hot")).alias("all"))
     slices = scratch.write(_cut(docs, wanted))
     release_shuffles(spark)
-    out = whole.unionByName(scratch.write(_sort_contexts(slices.where("window is null"))))
-    windows = slices.where("window is not null").drop("raw", "anchor")
-    if not windows.isEmpty():
-        twice = scratch.write(windows.groupBy("window").agg(F.count("*").alias("k")).where("k > 1").select("window"))
-        # a context that occurs twice is in `whole`; it only counts for the others
-        once = windows.where("n = 1").join(twice, "window").select("rid", "lo", F.col("lo").alias("hi"))
-        out = out.unionByName(scratch.write(once))
+    sort = slices.where("not hot").select("anchor", "rid", "lo", "n", "raw")
+    if not many.isEmpty():
+        spans, rest = _deal_out(slices.where("hot"), scratch, hot)
+        whole, sort = reduce(DataFrame.unionByName, spans, whole), reduce(DataFrame.unionByName, rest, sort)
+    out = whole.unionByName(scratch.write(_sort_contexts(sort)))
     release_shuffles(spark)
     return out
 

@@ -44,6 +44,16 @@ def test_suffix_dedup_of_hot_anchors(docs, documents, hot, spark):
     scratch.drop()
 
 
+def test_suffix_dedup_of_a_very_common_passage(spark):
+    """A passage in 20,000 texts: its groups of contexts are dealt out, and every byte that a repeated string covers goes."""
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = letters(230)
+    rows = [(k, letters(rng.randint(0, 40)) + passage + letters(rng.randint(0, 40))) for k in range(20_000)]
+    got = sorted(map(tuple, suffix.removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()))
+    assert got == removed_by_hand(rows)
+
+
 def test_suffix_dedup_keeps_rows_and_columns(docs, documents):
     out = suffix.deduplicated(docs)
     assert out.columns == docs.columns
@@ -62,7 +72,7 @@ def test_suffix_array_against_sorting():
 def test_anchors_cover_every_start():
     rng = random.Random(9)
     text = bytes(rng.choice(b"abc ") for _ in range(suffix.BLOCK + 5000))
-    starts = np.concatenate([np.arange(lo, hi + 1) for x in suffix.anchors(text) for lo, hi in zip(x[3], x[4], strict=True)])
+    starts = np.concatenate([np.arange(lo, hi + 1) for x in suffix.anchors(text) for lo, hi in zip(x[-2], x[-1], strict=True)])
     assert (np.sort(starts) == np.arange(len(text) - 199)).all()
 
 
