@@ -6,8 +6,13 @@ words are compiled, with their ids as outputs, into a minimal acyclic automaton
 of words with different ids are still shared.  Executors memory-map its arrays.
 Words that it lacks are merged exactly, pair by pair in rank order.
 
-The lexicon comes from a bounded sample of documents (``lexicon_docs``) and holds
-at most ``lexicon_words`` words: it decides how fast a word is encoded, never how.
+The lexicon holds the ``lexicon_words`` most frequent words of all documents, which are
+counted in partitions first; it decides how fast a word is encoded, never how.  Lexicon
+and tokenizer file lie in the shared folder, from where Spark hands them to executors.
+
+A tokenizer file that asks for what isn't done here (a normaliser, a space before the
+text, another way of cutting words, dropout, special tokens that take in white space) is
+refused.
 
 Defined results: a null text counts as empty; an empty text has no ids; repeated
 rows give repeated results; text equal to a special token becomes that token, as
@@ -20,24 +25,26 @@ import hashlib
 import heapq
 import json
 import os
-import tempfile
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, tuned
+from .common import Scratch, _arrow, hadoop_path, map_batches, tuned
 
 #: Fixed value: how byte-level BPE cuts text before its merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LEXICON_DOCS = 2000
 LEXICON_WORDS = 50_000
 #: Words in one generation of a worker's memo, and characters encoded at once; they bound its memory.
 MEMO_WORDS = 200_000
+#: Different words that a partition counts before it hands on their counts.
+COUNTED = 500_000
 CHARS_AT_ONCE = 1 << 20
 #: Bytes from which a word is merged with a heap.
 LONG_WORD = 200
@@ -50,12 +57,25 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(shifted)}
 
 
+def refuse(data: dict) -> None:
+    """An error for a tokenizer file whose settings would give other ids than those made here."""
+    model, cut = data["model"], data.get("pre_tokenizer") or {}
+    odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += ["normalizer"] if data.get("normalizer") else []
+    odd += ["model"] if model.get("type", "BPE") != "BPE" else []
+    odd += ["pre_tokenizer"] if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or cut.get("use_regex") is False else []
+    odd += [f"added token {t['content']!r}" for t in data.get("added_tokens", []) if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
+    if odd:
+        raise ValueError(f"this tokenizer's settings are not supported: {', '.join(odd)}")
+
+
 class Vocabulary:
     """Token bytes, merge ranks and special tokens of a byte-level BPE file."""
 
     def __init__(self, text: str):
         data = json.loads(text)
         model, alphabet = data["model"], byte_alphabet()
+        refuse(data)
         to_bytes = lambda token: bytes(alphabet[c] for c in token)
         ids = model["vocab"]
         self.token_bytes: dict[int, bytes] = {i: to_bytes(t) for t, i in ids.items()}
@@ -179,7 +199,7 @@ class Transducer:
             "offset": np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), "ids": np.array([i for w in order for i in words[w]], np.int32),
         })
 
-    def save(self, path: str) -> None:
+    def pack(self) -> bytes:
         """One file: a JSON header line with the arrays' places, then the arrays, each aligned to 64 bytes."""
         at, head, parts = 0, {}, []
         for k in self.FIELDS:
@@ -188,9 +208,11 @@ class Transducer:
             pad = -a.nbytes % 64
             parts.append(a.tobytes() + b"\0" * pad)
             at += a.nbytes + pad
-        first = json.dumps(head).encode().ljust(1023) + b"\n"
+        return json.dumps(head).encode().ljust(1023) + b"\n" + b"".join(parts)
+
+    def save(self, path: str) -> None:
         with open(path, "wb") as f:
-            f.write(first + b"".join(parts))
+            f.write(self.pack())
 
     @classmethod
     def open(cls, path: str) -> Transducer:
@@ -283,20 +305,33 @@ def ids_of(decimal: bytes) -> list[int]:
     return list(map(int, decimal.split(b","))) if decimal else []
 
 
-def _lexicon(docs: DataFrame, vocabulary: Vocabulary, sample_docs: int, words: int) -> Transducer:
-    """Frequent words of about sample_docs documents, chosen by a hash of the id, with their ids."""
-    total = docs.count()  # from Parquet's footers
-    part = 1 << 40 if total <= sample_docs else (sample_docs << 40) // total
-    picked = docs.where((F.xxhash64("doc_id").bitwiseAND((1 << 40) - 1) < part) & F.col("text").isNotNull())
-    split = SPLIT
+def batches_of(texts: list[str]) -> Iterator[list[str]]:
+    """Texts one after another, some at a time, so that their words fit in memory."""
+    at = 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) <= CHARS_AT_ONCE:
+            size, end = size + len(texts[end]), end + 1
+        yield texts[at:end]
+        at = end
 
-    def count(b):
-        cut, found = regex.compile(split), Counter()
-        for t in b["text"].to_pylist():
-            found.update(cut.findall(t))
-        return {"word": list(found), "n": list(found.values())}
 
-    top = map_batches(picked.select("text"), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+def _lexicon(docs: DataFrame, vocabulary: Vocabulary, words: int) -> Transducer:
+    """The most frequent words of all documents, with their ids."""
+    split, target = SPLIT, _arrow("word string, n long")
+
+    def count(batches):
+        cut, found = regex.compile(split), Counter()
+        for b in batches:
+            for t in b["text"].to_pylist():
+                found.update(cut.findall(t))
+                if len(found) > COUNTED:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], schema=target)
+                    found.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], schema=target)
+
+    counted = docs.where("text is not null").select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
+    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
     return Transducer.build({w: vocabulary.merge(w) for w in (r.word.encode() for r in top)})
 
 
@@ -313,42 +348,39 @@ def _encoder(key: str) -> Encoder:
     return _STATE[key]
 
 
-def prepare(docs: DataFrame, tokenizer_path: str, lexicon_docs: int = LEXICON_DOCS, lexicon_words: int = LEXICON_WORDS) -> str:
-    """Compiles the lexicon and sends it, with the tokenizer file, to every executor; returns their key."""
+def prepare(docs: DataFrame, tokenizer_path: str, lexicon_words: int = LEXICON_WORDS) -> str:
+    """Compiles the lexicon and hands it, with the tokenizer file, to every executor; returns their key."""
     spark = tuned(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         text = f.read()
-    key, here = f"bpe-{uuid.uuid4().hex}", tempfile.mkdtemp(prefix="symlake-bpe-")
-    with open(f"{here}/{key}.json", "w", encoding="utf-8") as f:
-        f.write(text)
-    _lexicon(docs, Vocabulary(text), lexicon_docs, lexicon_words).save(f"{here}/{key}.dawg")
-    for kind in ("json", "dawg"):
-        spark.sparkContext.addFile(f"{here}/{key}.{kind}")
+    vocabulary, scratch, key = Vocabulary(text), Scratch(spark), f"bpe-{uuid.uuid4().hex}"
+    files = {"json": text.encode(), "dawg": _lexicon(docs, vocabulary, lexicon_words).pack()}
+    for kind, raw in files.items():
+        fs, path = hadoop_path(spark, f"{scratch.root}/{key}.{kind}")
+        out = fs.create(path, True)
+        out.write(bytearray(raw))
+        out.close()
+        spark.sparkContext.addFile(path.toString())
     return key
 
 
-def encode(docs: DataFrame, tokenizer_path: str, ids: bool = True, lexicon_docs: int = LEXICON_DOCS, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, ids: bool = True, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
     """doc_id, n_tokens, ids (array, if asked for), ids_sha256, decoded_sha256 of every text.
 
     decoded_sha256 is of the text that the ids decode to, put together from the tokens' bytes.
     """
-    key = prepare(docs, tokenizer_path, lexicon_docs, lexicon_words)
+    key = prepare(docs, tokenizer_path, lexicon_words)
 
     def run(b):
         e, texts = _encoder(key), [t or "" for t in b["text"].to_pylist()]
         out: dict[str, list] = {"doc_id": b["doc_id"].to_pylist(), "n_tokens": [], "ids": [], "ids_sha256": [], "decoded_sha256": []}
-        at = 0
-        while at < len(texts):  # some texts at a time, so their words fit in memory
-            end, size = at + 1, len(texts[at])
-            while end < len(texts) and size + len(texts[end]) <= CHARS_AT_ONCE:
-                size, end = size + len(texts[end]), end + 1
-            for decimal, raw in e.encode(texts[at:end]):
+        for some in batches_of(texts):
+            for decimal, raw in e.encode(some):
                 out["n_tokens"].append(decimal.count(b",") + 1 if decimal else 0)
                 if ids:
                     out["ids"].append(ids_of(decimal))
                 out["ids_sha256"].append(hashlib.sha256(decimal).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
-            at = end
         return out
 
     kind = "ids array<int>, " if ids else ""
