@@ -1,10 +1,14 @@
 """Licence scans: matching statistics of a text over a generalised suffix automaton of template words.
 
 All templates go into one automaton over word numbers.  A text is streamed through
-it; each maximal match of MIN_MATCH words or more is placed in its template, and
-matches that follow each other in both text and template are chained.  A chain that
+it; within each maximal match of MIN_MATCH words or more, the matches of each template
+are placed, as shorter ones lie inside those of other templates, and matches that
+follow each other in both text and template are chained.  A chain that
 covers enough of its template is a span, and gives the template's label.
 
+Templates are short notices and whole texts of public licences (`licence_texts`); the
+score is the largest part of a template that a chain covers, 1 where a base phrase stands.
+
 Defined results: null counts as empty; an empty text has no words, no labels and
 score 0; repeated rows give repeated results.
 """
@@ -12,6 +16,7 @@ score 0; repeated rows give repeated results.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -19,27 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, map_batches, tuned
+from .licence_texts import TEMPLATES
 
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notices of public licences, as text; (label, words of the notice).
-TEMPLATES = (
-    ("mit", "Released under the MIT License."),
-    ("mit", "Licensed under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation."),
-    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("unlicense", "This is free and unencumbered software released into the public domain."),
-)
 #: Words in the shortest match that counts, words that may lie between chained matches, and the part of a template that a span covers.
 MIN_MATCH, MAX_GAP, MIN_COVER = 3, 4, 0.7
 
@@ -108,6 +96,15 @@ class SuffixAutomaton:
         return out
 
 
+def _fits(kept: list[tuple[int, int]], first: int, last: int) -> bool:
+    """Whether a range of words lies apart from those kept, which are in order; if so, it is kept as well."""
+    k = bisect_left(kept, (first, last))
+    apart = (k == 0 or kept[k - 1][1] < first) and (k == len(kept) or kept[k][0] > last)
+    if apart:
+        kept.insert(k, (first, last))
+    return apart
+
+
 class Scanner:
     """Templates compiled for scanning."""
 
@@ -127,18 +124,20 @@ class Scanner:
     def spans(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
         """(template, first word, last word, part of the template covered) of the chains in a text.
 
-        Of each template: the best chain, and every other of MIN_COVER or more that does not overlap a better one.
+        Of each template: the best chain, and every other of MIN_COVER or more that does not overlap a better one of it.
         """
         number = np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words))
         edge = np.flatnonzero(np.diff(np.concatenate([[False], number >= 0, [False]]).astype(np.int8)))
         begin, end = edge[::2], edge[1::2]
-        found: dict[int, list[tuple[int, int, int]]] = {}
+        found: dict[int, set[tuple[int, int, int]]] = {}
         for b, e in zip(begin[end - begin >= MIN_MATCH].tolist(), end[end - begin >= MIN_MATCH].tolist(), strict=True):
             run = number[b:e].tolist()
+            done = 0
             for at, size in self.automaton.maximal_matches(run, MIN_MATCH):
-                for t, place in self.places[tuple(run[at : at + MIN_MATCH])]:
-                    if self.texts[t][place : place + size] == run[at : at + size]:
-                        found.setdefault(t, []).append((b + at, place, size))
+                for k in range(max(at, done), at + size - MIN_MATCH + 1):
+                    for t, place, n in self._placed(run, k):
+                        found.setdefault(t, set()).add((b + k, place, n))
+                done = max(done, at + size - MIN_MATCH + 1)
         out = []
         for t, matches in found.items():
             every, chains = [], []  # a chain: covered words, first word, last word, next place in template
@@ -149,35 +148,52 @@ class Scanner:
                 chains = [c for c in chains if c[2] + MAX_GAP + 1 >= at] + [chain]
                 every.append(chain[:3])
             every.sort(key=lambda c: -c[0])
-            kept: list[tuple[int, int]] = []  # (first word, last word), apart and in order
+            kept: list[tuple[int, int]] = []
             for covered, first, last in every:
                 part = covered / len(self.texts[t])
                 if kept and part < MIN_COVER:
                     break
-                k = bisect_left(kept, (first, last))
-                if (k == 0 or kept[k - 1][1] < first) and (k == len(kept) or kept[k][0] > last):
-                    kept.insert(k, (first, last))
+                if _fits(kept, first, last):
                     out.append((t, first, last, part))
         return out
 
+    def strong(self, spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+        """Of the spans of MIN_COVER or more, those that overlap no better one of the same label, in order."""
+        kept: dict[str, list[tuple[int, int]]] = {}
+        ranked = sorted((s for s in spans if s[3] >= MIN_COVER), key=lambda s: (-s[3] * len(self.texts[s[0]]), -s[3], s))
+        return sorted((s for s in ranked if _fits(kept.setdefault(self.labels[s[0]], []), s[1], s[2])), key=lambda s: (s[1], s[2], s[0]))
+
+    def _placed(self, run: list[int], k: int) -> Iterator[tuple[int, int, int]]:
+        """(template, place, length) of the matches that begin at a word of a run and cannot begin before it."""
+        for t, place in self.places[tuple(run[k : k + MIN_MATCH])]:
+            words = self.texts[t]
+            if k and place and run[k - 1] == words[place - 1]:
+                continue
+            n = MIN_MATCH
+            while k + n < len(run) and place + n < len(words) and run[k + n] == words[place + n]:
+                n += 1
+            yield t, place, n
+
     def scan(self, raw: bytes | None) -> dict:
         """Everything that is reported of one text."""
         words = words_of(raw or b"")
         line = b" " + b" ".join(words) + b" "
-        starts, labels = [], set()
+        places, labels = [], set()
         for phrase, label in self.base:
             at = line.find(phrase)
             while at >= 0:
-                starts.append(line.count(b" ", 0, at))
+                places.append(at)
                 labels.add(label)
                 at = line.find(phrase, at + 1)
+        # the number of a word is that of the blanks before it
+        starts = np.searchsorted(np.flatnonzero(np.frombuffer(line, np.uint8) == 32), places).tolist() if places else []
         spans = self.spans(words)
-        strong = [s for s in spans if s[3] >= MIN_COVER]
+        strong = self.strong(spans)
         score = max([s[3] for s in spans] + [1.0] * bool(starts), default=0.0)
         return {
             "n_words": len(words), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
             "base_labels": ",".join(sorted(labels)), "labels": ",".join(sorted(labels | {self.labels[s[0]] for s in strong})), "score": score,
-            "spans": [{"label": self.labels[t], "first": a, "last": z, "covered": c} for t, a, z, c in sorted(strong, key=lambda s: s[1:3])],
+            "spans": [{"label": self.labels[t], "first": a, "last": z, "covered": c} for t, a, z, c in strong],
         }
 
 

@@ -66,6 +66,16 @@ def test_transducer_is_minimal_and_reads_back(tmp_path):
     assert [t.outputs(k) for k in found[:7]] == list(words.values()) and found[7:].tolist() == [-1, -1, -1]
 
 
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        data = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": data["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": data["model"] | {"dropout": 0.1}}):
+        with pytest.raises(ValueError, match="not supported"):
+            bpe.Vocabulary(json.dumps(data | change))
+
+
 def test_licences_base_places(docs, documents):
     got = sorted(tuple(r)[:6] for r in licences.scan(docs).collect())
     base, want = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}, []
@@ -88,6 +98,50 @@ def test_licences_repeated_in_one_text(spark):
     assert [(s.label, s.first, s.last) for s in rows[2].spans] == [("mit", 0, 4), ("mit", 5, 9)]
 
 
+def _best_cover(words, template):
+    """Words of a template that its best chain of matches covers, by trying all maximal common runs."""
+    n, m = len(words), len(template)
+    runs = []
+    for i in range(n):
+        for j in range(m):
+            if words[i] == template[j] and (i == 0 or j == 0 or words[i - 1] != template[j - 1]):
+                k = 0
+                while i + k < n and j + k < m and words[i + k] == template[j + k]:
+                    k += 1
+                if k >= licences.MIN_MATCH:
+                    runs.append((i, j, k))
+    best: dict = {}
+    for i, j, k in sorted(runs):
+        before = [best[r] for r in best if 0 <= i - r[0] - r[2] <= licences.MAX_GAP and 0 <= j - r[1] - r[2] <= licences.MAX_GAP]
+        best[i, j, k] = k + max(before, default=0)
+    return max(best.values(), default=0)
+
+
+def test_licences_labels_against_brute_force():
+    """Whole licences with words changed, left out or put in; labels and scores as by trying all chains."""
+    rng, scanner = random.Random(9), licences.Scanner()
+    whole = {t: licences.words_of(text.encode()) for t, (_, text) in enumerate(licences.TEMPLATES)}
+    for _ in range(60):
+        words = list(whole[rng.randrange(len(whole))])
+        for _ in range(rng.choice((0, 1, 3, 10))):
+            k = rng.randrange(len(words) or 1)
+            words[k : k + rng.randint(0, 2)] = [b"xx"] * rng.randint(0, 2)
+        words = [b"before"] * rng.randint(0, 5) + words + [b"after"] * rng.randint(0, 5)
+        got = scanner.scan(b" ".join(words))
+        cover = {t: _best_cover(words, w) / len(w) for t, w in whole.items()}
+        want = {licences.TEMPLATES[t][0] for t, c in cover.items() if c >= licences.MIN_COVER}
+        assert want <= set(got["labels"].split(",")) | set(got["base_labels"].split(",")) | {""}
+        assert set(got["labels"].split(",")) - {""} == want | (set(got["base_labels"].split(",")) - {""})
+        assert got["score"] == (1.0 if got["n_base"] else max(cover.values()))
+
+
+def test_licences_whole_texts(spark):
+    rows = [(k, text.upper()) for k, (_, text) in enumerate(licences.TEMPLATES)] + [(100, (licences.TEMPLATES[-10][1] + "\n") * 300)]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[k].labels.split(",") and got[k].score == 1.0 for k, (label, _) in enumerate(licences.TEMPLATES))
+    assert sum(s.label == "mit" and s.covered == 1.0 for s in got[100].spans) >= 300
+
+
 def test_licences_labels_and_spans(docs):
     rows = {r.doc_id: r for r in licences.scan(docs).collect()}
     assert (rows[406].labels, rows[406].score) == ("mit", 1.0)
