@@ -107,6 +107,18 @@ def test_simhash_groups(docs, documents):
     assert sorted(map(tuple, simhash.group(docs).collect())) == sorted((i, simhash._signed(fps[i]), comp[i]) for i, _ in documents)
 
 
+def test_simhash_of_null_and_repeated_ids(spark, monkeypatch):
+    """Fingerprints link whatever ids their rows have; ids only name the components."""
+    table = {"a": 0, "b": 7, "c": 63, "d": (1 << 64) - 1, "e": 1, "f": (1 << 64) - 2}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words: docs.selectExpr("doc_id", "fp"))
+    rows = lambda *x: spark.createDataFrame([(i, simhash._signed(table[k])) for i, k in x], "doc_id long, fp long")
+    chain = simhash.group(rows((1, "a"), (None, "b"), (2, "c"))).collect()
+    assert {r.component_id for r in chain} == {1} and len(chain) == 3
+    got = sorted((r.doc_id, r.fp, r.component_id) for r in simhash.group(rows((5, "a"), (5, "d"), (2, "e"), (9, "f"))).collect())
+    assert got == sorted([(5, 0, 2), (2, 1, 2), (5, -1, 5), (9, -2, 5)])
+    assert [r.component_id for r in simhash.group(rows((None, "a"))).collect()] == [None]
+
+
 @pytest.mark.parametrize("large", [4, 512])
 def test_simhash_links_of_planted_fingerprints(spark, large):
     """Balls of fingerprints around centres, chains, and strangers; also with buckets that are cut again."""
@@ -271,9 +283,20 @@ def test_topk_against_brute_force(spark):
         want |= {(q, n + 1, k, -s) for n, (s, k) in enumerate(best)}
     for bucket in (64, 4096):
         assert set(map(tuple, topk.search(frame, 5, bucket=bucket, block=4).collect())) == want
+        assert set(map(tuple, topk.search(frame, 5, bucket=bucket, block=4, first=20).collect())) == want
     assert topk.search(frame.where("false")).count() == 0
 
 
+def test_topk_of_very_large_components(spark):
+    """Components whose products are beyond doubles' whole numbers, or beyond a long, take part."""
+    rows = [(0, [2.0**40, 3.0]), (1, [2.0**40, 5.0]), (2, [1e300, 0.0]), (3, [-1e308, 1e308]), (4, [1.5, 2.0**-9])]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, first=1, bucket=2).collect()}
+    whole = lambda v: [int(np.clip(np.floor(256 * x), -1.7976931348623157e308, 1.7976931348623157e308)) for x in v]
+    with np.errstate(over="ignore"):
+        scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole(rows[0][1]), whole(v), strict=True)))), i) for i, v in rows[1:])
+    assert [got[0, n + 1] for n in range(4)] == [(i, -s) for s, i in scores]
+
+
 def test_topk_pruning_never_drops(spark):
     rng = np.random.default_rng(4)
     vecs = np.floor(256 * rng.normal(size=(300, 6))).astype(np.int64)

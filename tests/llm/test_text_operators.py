@@ -190,6 +190,45 @@ def test_decontamination_within_budget(spark, docs, documents):
     assert decontaminate.clean(docs, items).columns == docs.columns
 
 
+def test_decontamination_finds_items_by_text(spark):
+    """Items without an id, items that share an id, and short ones that are whole lines; repeated rows of items count once."""
+    a, b = "amber stone is older than the river valley", "the quartz grove haven lies beyond every hill"
+    docs = spark.createDataFrame([(1, f"so {a} then"), (2, f"or {b} now"), (3, "Yes it is.\n  Amber   Stone \nend"), (4, "the amber stone is"), (None, a), (6, "y" * 100_000 + a)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, a, 1), (7, a, 2), (7, b, 3), (7, b, 3), (8, "amber stone", 4), (9, "y", 5)], "item_id long, text string, doc_id int")
+    got = sorted(((r.doc_id, r.item_id, r.distance) for r in decontaminate.leaks(docs, items).collect()), key=str)
+    want = [(1, None, 0), (1, 7, 0), (2, 7, 0), (3, 8, 0), (None, None, 0), (None, 7, 0), (6, None, 0), (6, 7, 0)]
+    assert got == sorted(want, key=str)
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [4]
+
+
+def test_decontamination_against_every_distance(spark):
+    """Every item against every place of every text, by dynamic programming."""
+    rng = random.Random(13)
+    letters = lambda n: "".join(rng.choice("ab c") for _ in range(n))
+    items = [(k, letters(rng.randint(24, 60))) for k in range(12)]
+    docs = []
+    for k in range(60):
+        t = list(items[rng.randrange(12)][1])
+        for _ in range(rng.randint(0, 6)):
+            p = rng.randrange(len(t))
+            t[p : p + rng.randint(0, 1)] = rng.choice(("", "x", "a"))
+        docs.append((k, letters(rng.randint(0, 20)) + "".join(t) + letters(rng.randint(0, 20))))
+    want = set()
+    for d, t in docs:
+        for i, x in items:
+            p, line = decontaminate.normal(x), decontaminate.normal(t)
+            row = [0] * (len(line) + 1)
+            for n, c in enumerate(p):
+                new = [n + 1]
+                for j, e in enumerate(line):
+                    new.append(min(row[j] + (c != e), row[j + 1] + 1, new[j] + 1))
+                row = new
+            if len(p) >= decontaminate.MIN_ITEM and min(row) <= len(p) // decontaminate.EDIT_EVERY:
+                want.add((d, i, min(row), row.index(min(row))))
+    got = {(r.doc_id, r.item_id, r.distance, r.place_end) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {x[:3] for x in got} == {x[:3] for x in want} and len(want) > 10
+
+
 def test_decontamination_of_nothing(docs, empty, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(docs, none).count() == 0
@@ -226,6 +265,28 @@ def test_context_tells_quotation_from_abuse():
     assert abuse[0][3] > 1 > quoted[0][3] and none == []
 
 
+def test_quotation_marks_open_and_close():
+    s = toxicity.Scorer([toxicity.Term("idiot", 4.0)])
+    context = lambda t: s.batch([t])[0][0][3]
+    assert context("you idiot") == context("i don’t care you idiot it’s over") == context('he wrote "hi" then: you idiot "bye"') == 1.25
+    assert all(context(t) < 1 for t in ("“an idiot” i heard", "«idiot»", "„idiot“", "they shouted ‘don’t be an idiot’ again", "> you idiot", "he said you idiot"))
+    assert context('an "idiot\nand "so on') == 1.0
+    assert toxicity.quotations('a "b" c “d „e” f” «g') == [(2, 4), (8, 16)]
+
+
+def test_a_text_longer_than_what_is_held_at_once(monkeypatch):
+    monkeypatch.setattr(toxicity, "CHARS_AT_ONCE", 50)
+    s = toxicity.Scorer([toxicity.Term("idiot", 4.0)])
+    text = "a word and " * 40 + "idiot " + "b " * 100 + "idiot"
+    assert "".join(toxicity.parts_of(text)) == text and len(s.batch([text, None, "idiot"])[0]) == 2 and len(s.batch(["x", "idiot"])[1]) == 1
+
+
+def test_the_automaton_starts_anew(monkeypatch):
+    monkeypatch.setattr(toxicity, "STATES", 3)
+    trie = toxicity.FuzzyTrie([toxicity.Term("idiot", 4.0)])
+    assert [trie.match(w) for w in ("idiot", "idoit", "idiiot", "stone", "idiot")] == [(0, 0), None, (0, 1), None, (0, 0)] and len(trie.sets) < 60
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     """Documents of which some are abusive (words, misspelled words, a stem with endings) and some are shouted junk."""
@@ -256,6 +317,56 @@ def test_toxicity_held_out(labelled):
     assert held_accuracy(toxicity.score(docs, labels), labels, "toxic") > 0.97
 
 
+def test_toxicity_scores_against_a_plain_version(labelled):
+    """The query's scores from the fitted model, with every word compared with every term by edit distance."""
+    docs, labels = labelled
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: (r.score, r.n_hits) for r in toxicity.score(docs, labels).collect()}
+    fuzzy = toxicity.Scorer(model.terms)
+
+    def best(w):
+        fits = [(0, -t.weight, n) for n, t in enumerate(model.terms) if t.begins and w.startswith(t.text)]
+        fits += [(d, -t.weight, n) for n, t in enumerate(model.terms) if not t.begins and abs(len(t.text) - len(w)) <= t.edits and (d := edits(w, t.text)) <= t.edits]
+        return (min(fits)[2], min(fits)[0]) if fits else None
+
+    for r in docs.where("doc_id < 60").collect():
+        low = r.text.lower()
+        known = {w: m for w in set(toxicity.WORD.findall(low)) if (m := best(w))}
+        found = fuzzy._windows(low, known)
+        x = np.array([fuzzy.features(found)])
+        assert got[r.doc_id][1] == len(found) and abs(got[r.doc_id][0] - float(model.probability(x)[0])) < 1e-12
+
+
+def test_quality_against_a_direct_solution(labelled):
+    """The partition-summed equations give the ridge solution of all labelled rows at once."""
+    from pyspark.sql import functions as F
+
+    docs, labels = labelled
+    y = {r.doc_id: r.quality for r in labels.collect() if not crc_held_out(r.doc_id)}
+    rows = [(quality.statistics(r.text.encode()), y[r.doc_id]) for r in docs.collect() if r.doc_id in y]
+    x = np.array([r[0] for r in rows], np.float32).astype(float)
+    frame = quality.document_statistics(docs).join(labels.select("doc_id", F.col("quality").cast("double").alias("y")), "doc_id").where(~quality.held_out())
+    model = quality.fit(frame.select("x", "y").repartition(5))
+    t = np.array([r[1] for r in rows], float)
+    z = model.features(x)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0) + 1e-6, atol=1e-5)
+    beta = np.linalg.solve(z.T @ z + quality.RIDGE * len(t) / quality.FEATURES * np.eye(z.shape[1]), z.T @ t)
+    assert np.allclose(model.raw(x), z @ beta, atol=1e-6)
+    raw = z @ beta
+    at = np.clip(((raw + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    some = np.unique(at)
+    level = quality.isotonic(np.array([(at == b).sum() for b in some], float), np.array([t[at == b].sum() for b in some]))
+    assert np.allclose(model.levels, level, atol=1e-9)
+
+
+def test_quality_of_a_repeated_id(spark, labelled):
+    """Which text of a labelled id is learnt from does not depend on the order of rows."""
+    docs, labels = labelled
+    twice = docs.unionByName(docs.where("doc_id % 7 = 1").selectExpr("doc_id", "upper(text) as text"))
+    one, two = ({(r.doc_id, r.score) for r in quality.score(twice.repartition(n), labels).collect()} for n in (1, 6))
+    assert {(i, round(s, 9)) for i, s in one} == {(i, round(s, 9)) for i, s in two}
+
+
 def test_quality_held_out(labelled):
     docs, labels = labelled
     assert held_accuracy(quality.score(docs, labels), labels, "quality") > 0.97
