@@ -18,17 +18,45 @@ def ranked(df: DataFrame, by: list[str], order: list, limit: int | None = None,
     return out if limit is None else out.where(F.col(name) <= limit)
 
 
+#: Letters that a needle must have in a row to be looked up by trigrams, and needles that are looked for by a loop at once.
+GRAM, LOOPED = 3, 10_000
+
+
+def _grams(text: Column) -> Column:
+    """The runs of GRAM characters of a text, letters folded."""
+    t = F.lower(text)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (GRAM - 1)), lambda k: F.substring(t, k, F.lit(GRAM))))
+
+
 def find_symbols(queries: DataFrame, symbols: DataFrame, limit: int = 10) -> DataFrame:
     """query_id, rank and the symbol's columns: equal names first, then by qualified name and file.
 
-    A query that holds no wildcard is matched as a substring; % and _ in it are wildcards.  Queries are few
-    (a batch of lookups), so they are what the planner holds against the scan of symbols.
+    A query that holds no wildcard is matched as a substring; % and _ in it are wildcards.  Equal names come from an
+    equi-join.  A needle of GRAM characters or more without wildcards meets the names that hold its rarest run of GRAM
+    characters, and is verified there; others (short, with wildcards, or with letters that fold to several) meet all names.
     """
     q = F.col("query")
+    asked = queries.select("query_id", F.col("text").alias("query")).where("query is not null")
+    texts = asked.select("query").distinct()
+    names = symbols.select(F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("held")).where("held is not null").distinct()
+    plain = (F.length("query") >= GRAM) & q.rlike(r"^[\x20-\x7e]+$") & ~q.rlike(r"[%_\\]")
+    grams = names.where(F.length("held") >= GRAM).select("held", F.explode(_grams(F.col("held"))).alias("gram"))
+    wanted = texts.where(plain).select("query", F.explode(_grams(q)).alias("gram"))
+    often = grams.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = wanted.join(often, "gram", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0").select("query", "g.gram")
+    by_gram = grams.join(rarest, "gram").where(like_contains(F.col("held"), q)).select("query", "held")
+    odd = texts.where(~plain)
+    odd = F.broadcast(odd) if odd.limit(LOOPED + 1).count() <= LOOPED else odd
+    by_loop = names.join(odd, like_contains(F.col("held"), q) | (F.col("held") == q)).select("query", "held")
+    equal = names.join(texts, F.col("held") == q).select("query", "held")
+    holds = by_gram.unionByName(by_loop).unionByName(equal).distinct()
+    by_name = holds.join(symbols.withColumn("held", F.col("name")), "held")
+    by_qualified = holds.join(symbols.withColumn("held", F.col("qualified_name")), "held").where(~F.col("name").eqNullSafe(F.col("held")))
+    both = by_name.unionByName(by_qualified).drop("held").dropDuplicates()
     exact = (F.col("name") == q) | (F.col("qualified_name") == q)
-    fits = exact | like_contains(F.col("name"), q) | like_contains(F.col("qualified_name"), q)
-    found = symbols.join(queries.select("query_id", F.col("text").alias("query")), fits).withColumn("inexact", F.when(exact, 0).otherwise(1))
-    return ranked(found, ["query_id"], ["inexact", "qualified_name", "file_path"], limit).drop("query", "inexact")
+    columns = symbols.columns
+    found = both.join(asked, "query").withColumn("inexact", F.when(exact, 0).otherwise(1))
+    return ranked(found, ["query_id"], ["inexact", "qualified_name", "file_path"], limit).select("query_id", "rank", *columns)
 
 
 def edges_of(ids: DataFrame, edges: DataFrame, direction: str = "both") -> DataFrame:
@@ -67,11 +95,14 @@ def usages(queries: DataFrame, symbols: DataFrame, edges: DataFrame, most: int =
 
 
 def related(queries: DataFrame, symbols: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
-    """query_id, related: the other ends of the first edges of the best symbol, in order."""
-    best = find_symbols(queries, symbols, 1).select("query_id", "id")
+    """query_id, the best symbol (symbol), related (the other ends of its first edges, in order) and these edges (edges)."""
+    best = find_symbols(queries, symbols, 1).drop("rank")
+    best = best.select("query_id", "id", F.struct(*symbols.columns).alias("symbol"))
     found = edges_of(best.select("id").distinct(), edges).where(F.col("rank") <= limit)
     other = F.when(F.col("src_symbol_id") != F.col("id"), F.col("src_symbol_id")).otherwise(F.col("dst_symbol_id"))
-    return best.join(found, "id").groupBy("query_id").agg(F.array_sort(F.collect_set(other)).alias("related"))
+    by = found.withColumn("other", other).groupBy("id").agg(F.array_sort(F.collect_set("other")).alias("related"), F.array_sort(F.collect_list(F.struct("rank", *edges.columns))).alias("edges"))
+    none = F.array().cast("array<string>")
+    return best.join(by, "id", "left").select("query_id", "symbol", F.coalesce("related", none).alias("related"), F.coalesce("edges", F.array().cast(by.schema["edges"].dataType)).alias("edges"))
 
 
 def with_names(edges: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -96,6 +127,7 @@ def reverse_bfs(roots: DataFrame, edges: DataFrame, depth: int = 2) -> tuple[Dat
     impacted: root, id, level of what was reached, roots excepted; edges: root, level and every edge met, those to
     vertices seen before included.
     """
+    edges = _cut(edges) if depth > 1 else edges  # read at each level
     visited = frontier = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("level"))
     met = None
     for level in range(1, depth + 1):
@@ -114,6 +146,7 @@ def calls_walk(roots: DataFrame, edges: DataFrame, depth: int = 2, limit: int =
     The order is level, place of the vertex in its level, place of the edge; a vertex has the place of its first meeting.
     """
     calls = ranked(edges.where("edge_type = 'calls'"), ["dst_symbol_id"], [F.desc("confidence"), F.asc_nulls_first("line_start"), "src_symbol_id", "file_path"], limit, "edge_rank")
+    calls = _cut(calls) if depth > 1 else calls  # read at each level
     visited = frontier = roots.select(F.col("id").alias("root"), "id", F.lit(1).cast("long").alias("place"))
     met = None
     for level in range(1, depth + 1):
@@ -128,10 +161,28 @@ def calls_walk(roots: DataFrame, edges: DataFrame, depth: int = 2, limit: int =
 
 
 def same_file_neighbours(roots: DataFrame, symbols: DataFrame, limit: int = 10) -> DataFrame:
-    """root, rank, id ... of the callables and classes nearest by line in the file of each root."""
-    r = roots.select(F.col("id").alias("root"), F.col("file_path").alias("root_file"), F.col("start_line").alias("root_line"))
-    found = symbols.where(F.col("kind").isin(*NEIGHBOUR_KINDS)).join(r, (F.col("file_path") == F.col("root_file")) & (F.col("id") != F.col("root")))
-    return ranked(found, ["root"], [F.abs(F.col("start_line") - F.col("root_line")), "start_line", "id"], limit).drop("root_file", "root_line")
+    """root, rank, id ... of the callables and classes nearest by line in the file of each root.
+
+    Symbols of a file are numbered once by line.  The nearest of a place (file, line) are among the last ones before it
+    and the first ones from it on, so each place meets 2 x limit symbols, by their numbers, and not its whole file.
+    """
+    r = roots.select(F.col("id").alias("root"), "file_path", F.col("start_line").alias("line"))
+    callables = symbols.where(F.col("kind").isin(*NEIGHBOUR_KINDS) & F.col("file_path").isNotNull())
+    w = Window.partitionBy("file_path")
+    # of one line the smaller id is nearer from both sides, so symbols before a place are numbered with ids falling
+    numbers = F.array(F.struct(F.lit(0).alias("side"), F.row_number().over(w.orderBy("start_line", F.desc("id"))).alias("no")), F.struct(F.lit(1).alias("side"), F.row_number().over(w.orderBy("start_line", "id")).alias("no")))
+    numbered = callables.withColumn("n", numbers).withColumn("n", F.explode("n")).select("*", "n.side", "n.no").drop("n")
+    at = callables.groupBy("file_path", F.col("start_line").alias("line")).agg(F.count("*").alias("n")).unionByName(r.select("file_path", "line", F.lit(0).cast("long").alias("n")).distinct())
+    at = at.groupBy("file_path", "line").agg(F.sum("n").alias("n"))
+    before = (F.sum("n").over(w.orderBy("line")) - F.col("n")).cast("int")
+    places = at.withColumn("before", before).join(r.select("file_path", "line").distinct(), ["file_path", "line"], "left_semi")
+    span = lambda side, first, last: F.transform(F.sequence(first, last), lambda k: F.struct(F.lit(side).alias("side"), k.alias("no")))
+    asked = places.withColumn("n", F.explode(F.concat(span(0, F.col("before") - limit, F.col("before")), span(1, F.col("before") + 1, F.col("before") + limit + 1)))).select("file_path", "line", "n.side", "n.no")
+    near = numbered.join(asked, ["file_path", "side", "no"]).drop("side", "no")
+    order = [F.abs(F.col("start_line") - F.col("line")), "start_line", "id"]
+    near = ranked(near, ["file_path", "line"], order, limit + 1)  # one of them may be the root
+    found = near.drop("rank").join(r, ["file_path", "line"]).where("id != root")
+    return ranked(found, ["root"], order, limit).drop("line")
 
 
 def architecture_route(question: Column) -> Column:

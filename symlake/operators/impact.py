@@ -19,6 +19,7 @@ def _first_ends(roots: DataFrame, edges: DataFrame, symbols: DataFrame, end: str
 
 def fragments(roots: DataFrame, symbols: DataFrame, edges: DataFrame, limit: int = 10) -> dict[str, DataFrame]:
     """callers, incoming, outgoing, neighbours of each root (root, rank, ...)."""
+    symbols, edges = graph._cut(symbols), graph._cut(edges)  # each is read by four legs, and by what comes of them
     return {
         "callers": _first_ends(roots, edges, symbols, "dst_symbol_id", limit, "calls"),
         "incoming": _first_ends(roots, edges, symbols, "dst_symbol_id", limit),
@@ -52,6 +53,13 @@ def related_methods(roots: DataFrame, f: dict[str, DataFrame], limit: int = 10)
     return graph.ranked(by, ["root"], ["first"], limit).select("root", "rank", "symbol_id", "symbol", relations.alias("relations"), "file_path")
 
 
+#: The texts of notes.
+CALLERS_NOTE, FILES_NOTE = " direct caller(s) may need regression coverage.", ("Impact crosses ", " files.")
+CALLS_NOTE = "Target calls other symbols; validate downstream parsing and conversion behavior."
+TESTED_NOTE = "Tests already reference this symbol; failing tests can guide localization."
+ALONE_NOTE = "No indexed direct callers found; impact may come from reflection, framework entrypoints, or unresolved calls."
+
+
 def risk_notes(roots: DataFrame, f: dict[str, DataFrame], files: DataFrame) -> DataFrame:
     """root, notes."""
     callers = f["callers"].groupBy("root").agg(F.count("*").alias("callers"))
@@ -63,11 +71,11 @@ def risk_notes(roots: DataFrame, f: dict[str, DataFrame], files: DataFrame) -> D
         r = r.join(part, "root", "left")
     n = F.coalesce("callers", F.lit(0))
     notes = F.array(
-        F.when(n > 0, F.concat(n.cast("string"), F.lit(" direct caller(s) may need regression coverage."))),
-        F.when(F.col("calls"), "Target calls other symbols; validate downstream parsing and conversion behavior."),
-        F.when(F.col("tested"), "Tests already reference this symbol; failing tests can guide localization."),
-        F.when(F.col("files") > 1, F.concat(F.lit("Impact crosses "), F.col("files").cast("string"), F.lit(" files."))),
-        F.when(F.col("kind").isin("method", "function", "async_function") & (n == 0), "No indexed direct callers found; impact may come from reflection, framework entrypoints, or unresolved calls."),
+        F.when(n > 0, F.concat(n.cast("string"), F.lit(CALLERS_NOTE))),
+        F.when(F.col("calls"), CALLS_NOTE),
+        F.when(F.col("tested"), TESTED_NOTE),
+        F.when(F.col("files") > 1, F.concat(F.lit(FILES_NOTE[0]), F.col("files").cast("string"), F.lit(FILES_NOTE[1]))),
+        F.when(F.col("kind").isin("method", "function", "async_function") & (n == 0), ALONE_NOTE),
     )
     return r.select("root", F.array_compact(notes).alias("notes"))
 
