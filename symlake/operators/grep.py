@@ -11,11 +11,15 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import uuid5
 
+#: A group's name plays no part here, and is written in several ways.
+NAMED_GROUP = re.compile(r"(?<!\\)\(\?P?<[A-Za-z_]\w*>")
+
 
 def lines(files: DataFrame) -> DataFrame:
     """path, line (from 1), text; a break at the end makes no further line."""
@@ -24,28 +28,37 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(cut).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
-def compiles(pattern: str) -> bool:
-    """Whether a pattern is a valid regular expression; searches for others find nothing."""
+def compiled(spark: SparkSession, pattern: str) -> str | None:
+    """The pattern as the JVM takes it; None if it is no valid regular expression, whose searches find nothing."""
+    plain = NAMED_GROUP.sub("(", pattern)
     try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True
+        spark._jvm.java.util.regex.Pattern.compile(plain)
+    except IllegalArgumentException:
+        return None
+    return plain
+
+
+def searched(files: DataFrame) -> DataFrame:
+    """The files that a search looks at: none with a hidden part in the path, and none that holds a NUL."""
+    return files.where(~F.col("path").rlike(r"(?:^|/)\.[^/]") & (F.instr("content", "\x00") == 0))
 
 
 def matches(files: DataFrame, pattern: str) -> DataFrame:
     """path, line, text of the lines that match."""
-    rows = lines(files.where(F.col("content").rlike(pattern)) if compiles(pattern) and "^" not in pattern and "$" not in pattern else files)
-    return rows.where(F.col("text").rlike(pattern)) if compiles(pattern) else rows.where("false")
+    pattern = compiled(files.sparkSession, pattern)
+    if pattern is None:
+        return lines(files).where("false")
+    # a pattern without anchors that a line matches is one that the whole content matches
+    rows = lines(files if re.search(r"[\^$]|\\[AzZbBGQ]|\(\?", pattern) else files.where(F.col("content").rlike(pattern)))
+    return rows.where(F.col("text").rlike(pattern))
 
 
 def chunks(files: DataFrame, pattern: str, context: int = 10, max_results: int = 50) -> DataFrame:
     """rank, id, path, line_start, line_end, content of the chunks of all files."""
-    if not compiles(pattern):
-        pattern = "(?!)"
-    rows = lines(files).withColumn("hit", F.col("text").rlike(pattern))
+    pattern = compiled(files.sparkSession, pattern) or "(?!)"
     # only files with a match go on: their lines are windowed, others never leave the scan
-    rows = rows.join(rows.where("hit").select("path").distinct(), "path", "left_semi")
+    kept = files.select("path", "content").withColumn("hits", F.filter(F.split("content", "\n"), lambda x: x.rlike(pattern))).where(F.size("hits") > 0)
+    rows = lines(kept).withColumn("hit", F.col("text").rlike(pattern))
     at = F.when(F.col("hit"), F.col("line"))
     before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy("path").orderBy("line").rowsBetween(0, Window.unboundedFollowing)

@@ -19,10 +19,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _blocks(rows: DataFrame, size: int, names: tuple[str, str, str]) -> DataFrame:
-    """Rows of (id, vec) in blocks of about `size` of one dimension: number, dimension, list of rows."""
+def of_dimension(vec: Column, dimension: int) -> Column:
+    """The vector; one of another dimension is an error."""
+    said = F.concat(F.lit(f"a vector of dimension {dimension} is expected, not of "), F.size(vec).cast("string"))
+    return F.when(F.size(vec) == dimension, vec).otherwise(F.raise_error(said).cast("array<float>"))
+
+
+def _blocks(rows: DataFrame, n: int, names: tuple[str, str, str]) -> DataFrame:
+    """Rows of (id, vec) in n blocks, each of one dimension: number, dimension, list of rows."""
     usable = rows.where(F.col("vec").isNotNull() & (F.aggregate("vec", F.lit(0.0), lambda s, x: s + F.abs(x)) > 0))
-    n = max(1, -(-rows.count() // size))
     no, dim, packed = names
     return usable.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(no), F.size("vec").alias(dim)).agg(F.collect_list(F.struct("id", F.col("vec").cast("array<double>").alias("vec"))).alias(packed))
 
@@ -35,22 +40,24 @@ def search(queries: DataFrame, vectors: DataFrame, limit: int = 10, dimension: i
     blocks (more only on ties) go on to the ranking.
     """
     if dimension is not None:
-        vectors = vectors.where(F.size("vec") == dimension)
-    v = _blocks(vectors.select("id", "vec"), VECTORS, ("block", "dim", "vs"))
-    q = _blocks(queries.select(F.col("query_id").alias("id"), "vec"), QUERIES, ("qblock", "dim", "qs"))
+        vectors = vectors.where(F.col("vec").isNotNull()).withColumn("vec", of_dimension(F.col("vec"), dimension))
     numbers = max(1, -(-vectors.count() // VECTORS))
+    v = _blocks(vectors.select("id", "vec"), numbers, ("block", "dim", "vs"))
+    q = _blocks(queries.select(F.col("query_id").alias("id"), "vec"), max(1, -(-queries.count() // QUERIES)), ("qblock", "dim", "qs"))
     pairs = v.join(q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(numbers - 1).cast("long")))), ["block", "dim"])
     schema = "query_id long, id long, score double"
     target = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
-    def matrix(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        m = np.array([r["vec"] for r in rows], np.float64)
-        return np.array([r["id"] for r in rows], np.int64), m / np.sqrt((m * m).sum(1))[:, None]
+    def matrix(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and unit vectors of a block, from Arrow's flat values."""
+        ids = rows.field("id").to_numpy(zero_copy_only=False)
+        m = rows.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
+        return ids, m / np.sqrt((m * m).sum(1))[:, None]
 
     def run(batches):
         for b in batches:
-            for vs, qs in zip(b["vs"].to_pylist(), b["qs"].to_pylist(), strict=True):
-                (vid, vm), (qid, qm) = matrix(vs), matrix(qs)
+            for k in range(b.num_rows):
+                (vid, vm), (qid, qm) = matrix(b["vs"][k].values), matrix(b["qs"][k].values)
                 s = np.round(qm @ vm.T, digits) + 0.0
                 least = np.partition(s, s.shape[1] - limit, axis=1)[:, s.shape[1] - limit] if s.shape[1] > limit else np.full(len(s), -2.0)
                 row, col = np.nonzero(s >= least[:, None])
