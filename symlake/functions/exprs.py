@@ -74,19 +74,24 @@ def unit_type(kind: Column) -> Column:
     return F.when(kind == "class", "class_chunk").when(kind.isin("function", "async_function", "method", "constructor"), "function_chunk").otherwise("symbol_profile")
 
 
+#: Words in a call's name that tell its kind, and words of settings.
+LOG_NAMES = ("debug", "info", "warning", "error", "exception")
+METRIC_WORDS, TABLE_WORDS, CONFIG_WORDS = "metric|counter|histogram|gauge", "query|execute|fetch", "config|timeout|retry|backoff|env"
+
+
 def call_edge_type(name: Column) -> Column:
     """What a call is, by its dotted name: the first of logs, emits_metric, queries_table that fits, or calls."""
     n = F.lower(name)
     return (
-        F.when(n.contains("log") | n.isin("debug", "info", "warning", "error", "exception"), "logs")
-        .when(n.rlike("metric|counter|histogram|gauge"), "emits_metric")
-        .when(n.rlike("query|execute|fetch"), "queries_table")
+        F.when(n.contains("log") | n.isin(*LOG_NAMES), "logs")
+        .when(n.rlike(METRIC_WORDS), "emits_metric")
+        .when(n.rlike(TABLE_WORDS), "queries_table")
         .otherwise("calls")
     )
 
 
 def reads_config(name: Column) -> Column:
-    return F.lower(name).rlike("config|timeout|retry|backoff|env")
+    return F.lower(name).rlike(CONFIG_WORDS)
 
 
 def like_contains(text: Column, needle: Column) -> Column:
