@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Settings
-from .operators import chunks, embed, enrich, parsing, symbols
-from .sources.store import Store
+from .operators import chunks, embed, enrich, fts, parsing, symbols, vector
+from .sources.store import Store, buckets_of
 from .sources.trees import source_files
 
 
@@ -27,17 +27,24 @@ def index_files(spark: SparkSession, files: DataFrame, settings: Settings, make_
         units = chunks.indexed(files, found)
         client = make_client or enrich.client_for(settings.llm)
         units, profiles = enrich.enrich(units, client)
-        store.upsert("files", files)
-        store.upsert("symbols", found)
-        store.upsert("chunks", units)
-        store.replace_files("symbol_edges", edges, files.select("path"))
-        if profiles is not None:
-            store.upsert("llm_enrichments", profiles)
-        if settings.vectors:
-            e = settings.embeddings
-            payload = chunks.payloads(units, found, edges)
-            vectors = embed.embed(payload, "id", "embedding_text", e.provider, e.model, e.dimensions, e.batch_size)
-            store.upsert("vectors", payload.join(vectors, "id"))
+        touched = buckets_of(files, "path")
+        with store.commit():
+            store.upsert("files", files, touched)
+            store.upsert("symbols", found, touched)
+            store.upsert("chunks", units, touched)
+            # the full-text index takes chunks as they have just been written, models' profiles included
+            new = store.read("chunks", touched).join(files.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi")
+            store.replace_ids("postings", fts.stored(new, "id", fts.CHUNK_COLUMNS).join(new.select("id", "file_path"), "id"), new.select("id", "file_path"), touched)
+            store.replace_files("symbol_edges", edges, files.select("path"), touched)
+            if profiles is not None:
+                store.upsert("llm_enrichments", profiles)
+            if settings.vectors:
+                e = settings.embeddings
+                payload = chunks.payloads(units, found, edges)
+                vectors = embed.embed(payload, "id", "embedding_text", e.provider, e.model, e.dimensions, e.batch_size)
+                if e.provider != "hash":  # hashed tokens have the dimension that they are asked for
+                    vectors = vectors.withColumn("vector", vector.of_dimension(F.col("vector"), e.dimensions))
+                store.upsert("vectors", payload.join(vectors, "id"), touched)
         count = lambda df: df.agg(F.count("*")).first()[0]
         n = count(files)
         occurrences = symbols.occurrences(parsed)

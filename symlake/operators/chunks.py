@@ -38,7 +38,7 @@ def payloads(chunks: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFra
     """Chunks with embedding_text, the first edges of their symbol, and for files the number and names of symbols."""
     w = Window.partitionBy("src_symbol_id").orderBy("ord")
     first = edges.withColumn("k", F.row_number().over(w)).where(F.col("k") <= MOST_EDGES)
-    context = first.groupBy(F.col("src_symbol_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "edge_type", F.col("dst_symbol_id").alias("target"), "confidence"))), lambda x: F.struct(x["edge_type"].alias("edge_type"), x["target"].alias("target"), x["confidence"].alias("confidence"))).alias("graph_context"))
+    context = first.groupBy(F.col("src_symbol_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "edge_type", F.col("dst_symbol_id").alias("target"), "file_path", "line_start", "line_end", "confidence"))), lambda x: F.struct(*[x[c].alias(c) for c in ("edge_type", "target", "file_path", "line_start", "line_end", "confidence")])).alias("graph_context"))
     names = symbols.groupBy("file_path").agg(F.count("*").cast("int").alias("symbol_count"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ord", "qualified_name"))), lambda x: x["qualified_name"]), 1, MOST_NAMES).alias("defined_symbols"))
     is_file = F.col("unit_type") == "file_summary"
     out = embedding_text(chunks).join(context, "id", "left").join(names, "file_path", "left")

@@ -28,10 +28,16 @@ def query_phrases(query: Column) -> Column:
 
 
 def postings(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """id, col, pos, term of every token of the indexed columns."""
+    """id, dl (tokens in all columns), col, pos, term of every token of the indexed columns."""
     cols = F.array(*[F.struct(F.lit(k).alias("col"), index_tokens(F.col(c)).alias("tokens")) for k, c in enumerate(columns)])
-    each = rows.select(F.col(id_col).alias("id"), F.explode(cols).alias("c"))
-    return each.select("id", F.col("c.col").alias("col"), F.posexplode("c.tokens").alias("pos", "term"))
+    each = rows.select(F.col(id_col).alias("id"), cols.alias("cols")).withColumn("dl", F.aggregate("cols", F.lit(0).cast("long"), lambda n, c: n + F.size(c["tokens"])))
+    one = each.select("id", "dl", F.explode("cols").alias("c"))
+    return one.select("id", "dl", F.col("c.col").alias("col"), F.posexplode("c.tokens").alias("pos", "term"))
+
+
+def stored(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """Postings as an index keeps them: id, dl, col, term, positions."""
+    return postings(rows, id_col, columns).groupBy("id", "dl", "col", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
 def lengths(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
@@ -41,36 +47,68 @@ def lengths(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
 
 
 def scores(queries: DataFrame, rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """query_id, id, score of every row that a query matches; queries: query_id, text.
+    """query_id, id, score of every row that a query matches; queries: query_id, text."""
+    corpus = lengths(rows, id_col, columns).agg(F.count("*").cast("double").alias("total"), F.avg("dl").alias("avgdl"))
+    return scored(queries, postings(rows, id_col, columns), corpus)
+
+
+def stored_scores(queries: DataFrame, post: DataFrame, rows: DataFrame) -> DataFrame:
+    """The same over stored postings; rows: the indexed rows, of which only the number is read."""
+    tokens = post.agg(F.sum(F.size("positions")).alias("n"))
+    corpus = rows.agg(F.count("*").cast("double").alias("total")).join(tokens).select("total", F.try_divide(F.coalesce("n", F.lit(0)), F.col("total")).alias("avgdl"))
+    return scored(queries, post, corpus)
+
+
+#: Terms of all queries that are held against the scan of postings; more of them meet it by a join of both sides.
+FEW_TERMS = 100_000
 
-    Occurrences are counted once for each distinct phrase and row, before queries that share the phrase come in.
+
+def scored(queries: DataFrame, post: DataFrame, corpus: DataFrame) -> DataFrame:
+    """query_id, id, score from postings (with pos, or positions) and corpus (one row: total, avgdl).
+
+    Only postings of wanted terms leave the scan.  They are dealt by row, so that a row's occurrences, its phrases and
+    its scores for all queries are added up in one place; terms of queries, which are few, are brought there.
     """
     asked = queries.select("query_id", F.explode(query_phrases(F.col("text"))).alias("phrase")).withColumn("key", F.array_join("phrase", " "))
     wanted = asked.groupBy("key").agg(F.first("phrase").alias("phrase"))
     terms = wanted.select("key", F.size("phrase").alias("n"), F.posexplode("phrase").alias("at", "term"))
-    post = postings(rows, id_col, columns)
-    single = post.groupBy("term", "id").agg(F.count("*").alias("f")).join(terms.where("n = 1").select("key", "term"), "term").select("key", "id", "f")
-    # a phrase stands where all of its terms stand in a row within one column
-    starts = post.join(terms.where("n > 1"), "term").groupBy("key", "n", "id", "col", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("k")).where("k = n")
-    found = single.unionByName(starts.groupBy("key", "id").agg(F.count("*").alias("f")))
-    size = lengths(rows, id_col, columns)
-    corpus = size.agg(F.count("*").cast("double").alias("total"), F.avg("dl").alias("avgdl"))
+    size = terms.agg(F.count("*").alias("terms"), F.max("n").alias("longest")).first()
+    few = (lambda df: F.broadcast(df)) if size.terms <= FEW_TERMS else (lambda df: df)
+    each = "positions" in post.columns
+    single = post.join(few(terms.where("n = 1").select("key", "term")), "term").select("id", "dl", "key", F.size("positions").alias("f") if each else F.lit(1).alias("f"))
+    if not each:  # counted before they are dealt
+        single = single.groupBy("id", "dl", "key").agg(F.sum("f").alias("f"))
+    found = single
+    if (size.longest or 1) > 1:
+        # a phrase stands where all of its terms stand in a row within one column
+        at = post.join(few(terms.where("n > 1")), "term")
+        at = at.withColumn("pos", F.explode("positions")) if each else at
+        starts = at.groupBy("id", "dl", "key", "n", "col", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("k")).where("k = n")
+        found = found.unionByName(starts.groupBy("id", "dl", "key").agg(F.count("*").alias("f")))
+    found = found.repartition("id").groupBy("id", "dl", "key").agg(F.sum("f").alias("f"))
     idf = found.groupBy("key").agg(F.count("*").alias("n")).join(corpus).select("key", F.greatest(F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(FLOOR)).alias("idf"), "avgdl")
-    times = asked.groupBy("query_id", "key").agg(F.count("*").alias("times"))
+    times = asked.groupBy("query_id", "key").agg(F.count("*").alias("times")).join(idf, "key")
     part = F.col("times") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * ((1 - B) + B * F.col("dl") / F.col("avgdl")))
-    hits = found.join(idf, "key").join(size, "id").join(times, "key")
-    return hits.groupBy("query_id", "id").agg((-F.sum(part)).alias("score"))
+    # every query has some of the terms, so this side is as few as they are
+    return found.join(few(times), "key").groupBy("query_id", "id").agg((-F.sum(part)).alias("score"))
 
 
 def search(queries: DataFrame, rows: DataFrame, id_col: str, columns: list[str], limit: int = 10, digits: int = 6) -> DataFrame:
     """query_id, rank, id, score: the best rows of each query, ties to the smaller id."""
+    return best(scores(queries, rows, id_col, columns), limit, digits)
+
+
+def best(found: DataFrame, limit: int = 10, digits: int = 6) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("score", "id")
-    s = scores(queries, rows, id_col, columns).withColumn("score", F.round("score", digits))
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "rank", "id", "score")
+    return found.withColumn("score", F.round("score", digits)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "rank", "id", "score")
+
+
+#: The columns of chunks that are indexed.
+CHUNK_COLUMNS = ["unit_type", "symbol_qualified_name", "file_path", "content", "profile"]
 
 
-def chunk_hits(queries: DataFrame, chunks: DataFrame, limit: int = 10) -> DataFrame:
-    """Search hits over a chunks table; the hits' score is 1, BM25 only orders them."""
-    columns = ["unit_type", "symbol_qualified_name", "file_path", "content", "profile"]
-    top = search(queries, chunks, "id", columns, limit).drop("score")
+def chunk_hits(queries: DataFrame, chunks: DataFrame, limit: int = 10, post: DataFrame | None = None) -> DataFrame:
+    """Search hits over a chunks table, from its stored postings where there are any; the hits' score is 1, BM25 only orders them."""
+    found = scores(queries, chunks, "id", CHUNK_COLUMNS) if post is None else stored_scores(queries, post, chunks)
+    top = best(found, limit).drop("score")
     return top.join(chunks, "id").select("query_id", "rank", "id", F.lit(1.0).alias("score"), "file_path", F.col("symbol_qualified_name").alias("symbol"), "content", F.lit("sqlite").alias("source"), F.lit("fts").alias("retrieval_method"), F.col("start_line").alias("line_start"), F.col("end_line").alias("line_end"))

@@ -446,6 +446,13 @@ def java_rows(content: str, path: str) -> list[Row]:
 PARSERS: dict[str, Callable[[str, str], list[Row]]] = {"python": python_rows, "java": java_rows}
 
 
+def parser_for(language: str) -> Callable[[str, str], list[Row]]:
+    """The parser of a language; a language that has none is an error."""
+    if language not in PARSERS:
+        raise ValueError(f"no parser for language: {language}")
+    return PARSERS[language]
+
+
 def parse(files: DataFrame, on_error: str = "fail", parsers: dict[str, Callable[[str, str], list[Row]]] | None = None) -> DataFrame:
     """Rows of PARSED for files (path, language, content); languages without a parser have none.
 

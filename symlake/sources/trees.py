@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import subprocess
 from collections.abc import Iterator
 from fnmatch import fnmatch
 
@@ -82,6 +83,24 @@ def yaml_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(k) for k in fields) for r in rows], schema)
 
 
+#: The columns of a bug list's CSV text.
+BUG_CSV = "id string, classes string, tests string"
+
+
+def read_bug_list(spark: SparkSession, path: str, project: str) -> DataFrame:
+    """The bugs of a project from files of CSV text (id, modified classes, triggering tests), without a header."""
+    return bug_list(spark.read.schema(BUG_CSV).csv(path).withColumn("project", F.lit(project)))
+
+
+def run_bug_list(spark: SparkSession, command: list[str], project: str, folder: str | None = None) -> DataFrame:
+    """The same from what a command writes; one that fails is an error."""
+    done = subprocess.run(command, cwd=folder, capture_output=True, text=True)
+    if done.returncode:
+        raise RuntimeError(f"{command[0]} ended with {done.returncode}: {done.stderr.strip()[:300]}")
+    lines = spark.createDataFrame([(x,) for x in done.stdout.splitlines() if x.strip()], "line string")
+    return bug_list(lines.select(F.from_csv("line", BUG_CSV).alias("b")).select("b.*").withColumn("project", F.lit(project)))
+
+
 def bug_list(lines: DataFrame) -> DataFrame:
     """project, bug_id, modified_classes, triggering_tests from rows of project, id, classes and tests (lists joined by ;).
 

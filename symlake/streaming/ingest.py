@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Settings
 from ..indexing import index_files
+from ..sources.store import Store
 
 CHANGES = "path string, language string, content string, version long"
 
@@ -18,16 +19,22 @@ def changes(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> D
 
 
 def latest(batch: DataFrame) -> DataFrame:
-    """path, language, content: of several versions of a path the last."""
+    """path, language, content, version: of several versions of a path the last."""
     w = Window.partitionBy("path").orderBy(F.desc("version"))
-    return batch.withColumn("k", F.row_number().over(w)).where("k = 1").select("path", "language", "content")
+    return batch.withColumn("k", F.row_number().over(w)).where("k = 1").select("path", "language", "content", "version")
+
+
+def newer(batch: DataFrame, indexed: DataFrame) -> DataFrame:
+    """The rows of a batch that no later version of their path has been indexed before."""
+    known = indexed.select("path", F.coalesce("version", F.lit(-1)).alias("known"))
+    return batch.join(known, "path", "left").where(F.col("known").isNull() | (F.coalesce("version", F.lit(-1)) >= F.col("known"))).drop("known")
 
 
 def maintain(stream: DataFrame, settings: Settings, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Keeps an index up to date; writing a batch twice after a failure gives the same tables, as all writes are by key or by file."""
 
     def write(batch: DataFrame, _: int) -> None:
-        rows = latest(batch).persist()
+        rows = newer(latest(batch), Store(batch.sparkSession, settings.index_path).read("files")).persist()
         try:
             if not rows.isEmpty():
                 index_files(batch.sparkSession, rows, settings)
