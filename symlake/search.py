@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Settings
-from .operators import embed, fts, fuse, graph, grep, impact, vector
+from .operators import embed, fts, fuse, graph, grep, impact, tools, vector
 from .operators.window import checked_window
 from .sources.store import Store
 from .sources.trees import source_files
@@ -34,13 +34,19 @@ class Index:
         top = vector.search(q, keyed.select(F.col("n").alias("id"), F.col("vector").alias("vec")), limit, e.dimensions)
         return vector.chunk_hits(top.withColumnRenamed("id", "n").join(keyed.select("n", "id"), "n").drop("n"), v)
 
-    def search(self, text: str, limit: int = 10) -> tuple[DataFrame, dict[str, int], dict[str, str]]:
+    def exact_hits(self, text: str, limit: int) -> DataFrame:
+        return grep.hits(grep.chunks(grep.searched(source_files(self.spark, self.root, ("*",), (*self.settings.exclude_dirs, ".git"))), text, max_results=limit))
+
+    def text_hits(self, asked: DataFrame, limit: int) -> DataFrame:
+        return fts.chunk_hits(asked, self.table("chunks"), limit, self.table("postings"))
+
+    def search(self, text: str, limit: int = 10, vectors: bool = True) -> tuple[DataFrame, dict[str, int], dict[str, str]]:
         """(hits, raw counts, errors): exact search where there is a tree, full text, vectors; a failing vector search counts 0."""
         asked, lists, errors = self.asked(text), {}, {}
         if self.root is not None:
-            lists["ripgrep"] = grep.hits(grep.chunks(source_files(self.spark, self.root, ("*",), self.settings.exclude_dirs), text))
-        lists["fts"] = fts.chunk_hits(asked, self.table("chunks"), limit)
-        if self.settings.vectors:
+            lists["ripgrep"] = self.exact_hits(text, limit)
+        lists["fts"] = self.text_hits(asked, limit)
+        if vectors and self.settings.vectors:
             try:
                 lists["vector"] = self.vector_hits(asked, limit)
                 lists["vector"].take(1)
@@ -50,10 +56,10 @@ class Index:
         fused, counts = fuse.hybrid(asked, lists, limit)
         return fused, {r.method: r.n for r in counts.collect()}, errors
 
-    def search_or_graph(self, text: str, limit: int = 10) -> list[dict]:
+    def search_or_graph(self, text: str, limit: int = 10, vectors: bool = True) -> list[dict]:
         """Hits in order, or where there are none the edges that the question asks for."""
-        hits = [r.asDict() for r in self.search(text, limit)[0].orderBy("rank").collect()]
-        return hits or [r.asDict() for r in graph.architecture_search(self.asked(text), self.table("symbol_edges")).orderBy("rank").collect()]
+        hits = [r.asDict() for r in self.search(text, limit, vectors)[0].orderBy("rank").collect()]
+        return hits or [r.asDict() for r in graph.architecture_search(self.asked(text), self.table("symbol_edges"), limit).orderBy("rank").collect()]
 
     def explain(self, name: str) -> dict | None:
         rows = graph.explain(self.asked(name), self.table("symbols"), self.table("symbol_edges")).orderBy("rank").collect()
@@ -66,9 +72,19 @@ class Index:
     def usages(self, name: str) -> list[dict]:
         return [r.asDict() for r in graph.usages(self.asked(name), self.table("symbols"), self.table("symbol_edges")).orderBy("rank").collect()]
 
-    def related(self, name: str, limit: int = 20) -> list[str]:
+    def related(self, name: str, limit: int = 10) -> dict | None:
         found = graph.related(self.asked(name), self.table("symbols"), self.table("symbol_edges"), limit).first()
-        return found.related if found else []
+        return tools.related_answer(found) if found else None
+
+    def check_vectors(self) -> None:
+        """An error if vector search cannot work: no vectors, some of another dimension, or a provider that isn't there."""
+        e = self.settings.embeddings
+        if self.table("vectors").isEmpty():
+            raise RuntimeError(f"there are no vectors under {self.store.root}")
+        try:
+            self.vector_hits(self.asked("availability"), 1).collect()
+        except Exception as x:
+            raise RuntimeError(f"vector search with {e.provider} is not available: {str(x).splitlines()[0]}") from x
 
     def impact(self, name: str, depth: int = 2, limit: int = 10, radius: int = 12) -> dict | None:
         files = source_files(self.spark, self.root, self.settings.include_globs, self.settings.exclude_dirs) if self.root else None

@@ -123,6 +123,144 @@ def test_search_and_impact(index):
         ix.window("../outside", 1)
 
 
+def test_stored_postings_give_the_same_scores(index, spark):
+    ix, _ = index
+    asked = spark.createDataFrame([(0, "load_config retry"), (1, "TIMEOUT_SECONDS"), (2, "absent")], "query_id long, text string")
+    key = lambda df: {(r.query_id, r.id): round(r.score, 9) for r in df.collect()}
+    plain = key(fts.scores(asked, ix.table("chunks"), "id", fts.CHUNK_COLUMNS))
+    assert plain and plain == key(fts.stored_scores(asked, ix.table("postings"), ix.table("chunks")))
+
+
+def test_payloads_of_vectors(index):
+    ix, _ = index
+    rows = {r.symbol: r for r in ix.table("vectors").collect()}
+    assert rows["service.py"].symbol_count == 6 and rows["service.py"].defined_symbols[0] == "RETRY_LIMIT" and rows["service.py"].graph_context is None
+    context = rows["load_config"].graph_context
+    assert ("reads_config", "service.py") in {(e.edge_type, e.file_path) for e in context} and rows["load_config"].symbol_count is None
+
+
+def test_answers_of_tools(index, spark, tree):
+    ix, _ = index
+    t = tools.Tools(ix.table("chunks"), ix.table("symbols"), ix.table("symbol_edges"), source_files(spark, str(tree)), postings=ix.table("postings"))
+    assert t.explain_symbol("load_config")["symbol"]["qualified_name"] == "load_config" and t.find_usages("load_config")["usages"]
+    related = t.related_symbols("load_config")
+    assert related["edges"] and related["related_symbol_ids"] == sorted(related["related_symbol_ids"]) and related["symbol"]["name"] == "load_config"
+    assert t.find_usages("zzz no such") == {"symbol": "zzz no such", "usages": []} and t.explain_symbol("zzz no such") == {"symbol": "zzz no such", "edges": []}
+    assert t.related_symbols("zzz no such") == {"symbol": "zzz no such", "related_symbol_ids": [], "edges": []}
+    assert ix.related("load_config")["edges"] and ix.related("zzz no such") is None
+
+
+def test_the_server_needs_its_library(index):
+    from symlake import server
+
+    ix, _ = index
+    with pytest.raises(RuntimeError, match="mcp"):
+        server.build(server.tools_of(ix))
+    assert server.parser().parse_args(["--root", "r", "--max-results", "2"]).max_results == 2
+
+
+def test_vector_search_that_cannot_work_is_an_error(index, spark):
+    from pyspark.errors import PySparkException
+
+    from symlake.operators import vector
+
+    ix, _ = index
+    ix.check_vectors()
+    with pytest.raises(RuntimeError, match="no vectors"):
+        Index(spark, Settings(index_path="/tmp/no-such-index")).check_vectors()
+    rows = spark.createDataFrame([(1, [1.0, 2.0])], "id long, vec array<float>")
+    with pytest.raises(PySparkException, match="dimension 3"):
+        vector.search(rows.withColumnRenamed("id", "query_id"), rows, 1, 3).collect()
+    with pytest.raises(ValueError, match="cobol"):
+        parsing.parser_for("cobol")
+
+
+def test_command_line(index, tree, capsys, tmp_path):
+    from symlake import cli
+
+    ix, _ = index
+    path = ["--index-path", ix.settings.index_path]
+    said = lambda *args: (cli.main([*path, *args]), json.loads(capsys.readouterr().out))[1]
+    assert said("search", "load_config", "--no-vectors", "--limit", "3")[0]["retrieval_method"] == "fts"
+    assert said("explain", "load_config")["symbol"]["name"] == "load_config" and said("find-usage", "load_config") and said("related", "load_config")["edges"]
+    assert said("window", str(tree), "notes.txt", "3", "--radius", "1")["content"] == "two\nthree\nfour"
+    assert said("search", "which timeout zzzqqq", "--no-vectors", "--limit", "1")[0]
+    (tmp_path / "c.yml").write_text("- {bug_id: p_1b, project: p, query: load_config, expected_files: [service.py], expected_methods: [load_config]}\n")
+    out = said("localise", str(tree), "--cases", str(tmp_path / "c.yml"), "--reuse-index", "--with-vectors")
+    case = out["cases"][0]
+    assert out["summary"]["file_recall_at_1"] == 1.0 and case["raw_retrieval_method_counts"]["vector"] > 0 and "content" not in case["impact"]["top_code_windows"][0]
+    args = cli.parser().parse_args(["index", "r", "--llm-api-key", "k", "--llm-temperature", "0.5", "--llm-max-tokens", "9", "--embedding-batch-size", "4"])
+    assert (args.llm_api_key, args.llm_temperature, args.llm_max_tokens, args.embedding_batch_size) == ("k", 0.5, 9, 4)
+    assert cli.main(["--index-path", str(tmp_path / "none"), "localise", str(tree), "--cases", str(tmp_path / "c.yml"), "--reuse-index", "--with-vectors"]) == 2
+
+
+def test_store_commits_all_tables_at_once(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "ix"))
+    files = lambda *x: spark.createDataFrame([(p, "python", c, v) for p, c, v in x], "path string, language string, content string, version long")
+    s.write("files", files(("a", "1", 1), ("b", "1", 1)))
+    with pytest.raises(KeyError), s.commit():
+        s.upsert("files", files(("a", "2", 2)))
+        assert store.Store(spark, s.root).read("files").where("path = 'a'").first().content == "1"
+        raise KeyError
+    assert s.read("files").where("path = 'a'").first().content == "1"
+    for k in range(5):
+        s.upsert("files", files(("a", str(k), k)))
+    assert sorted((r.path, r.content) for r in s.read("files").collect()) == [("a", "4"), ("b", "1")]
+    assert len(s._manifests()) == store.KEPT and len(s._names("files")) <= store.KEPT + 1  # older folders are gone
+    one, two = store.Store(spark, s.root), store.Store(spark, s.root)
+    with pytest.raises(RuntimeError, match="another commit"), one.commit():
+        two.upsert("files", files(("c", "x", 1)))
+    old = spark.createDataFrame([("s", "d", "calls", "f")], "src_symbol_id string, dst_symbol_id string, edge_type string, file_path string")
+    s.write("symbol_edges", old)
+    assert s.read("symbol_edges").first().confidence == 1.0
+
+
+def test_versions_do_not_go_back(spark):
+    known = spark.createDataFrame([("a", 3), ("b", None)], "path string, version long")
+    batch = spark.createDataFrame([("a", 2), ("b", 1), ("c", 1)], "path string, version long")
+    assert sorted(r.path for r in ingest.newer(batch, known).collect()) == ["b", "c"]
+
+
+def test_patterns_of_the_jvm(spark):
+    files = spark.createDataFrame([("a", "héllo\nplain\n"), (".hidden/x", "héllo\n"), ("bin", "h\x00éllo\n")], "path string, content string")
+    found = lambda p: [r.text for r in grep.matches(files.where("path = 'a'"), p).collect()]
+    assert found(r"\p{L}+é?llo") == found(r"(?P<n>h)é") == found(r"(?<name_x>h)é") == found("^h.*o$") == ["héllo"] and found("(unclosed") == found("[z") == []
+    assert [r.path for r in grep.searched(files).collect()] == ["a"]
+    assert [r.path for r in grep.chunks(files, r"(?P<n>h)é", 1).orderBy("rank").collect()] == [".hidden/x", "a"]
+
+
+def test_neighbours_and_names_against_plain_joins(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"s{k}", f"Q.{rng.choice('abAB_%')}{k % 7}é" if k % 9 else "x", f"f{k % 3}", rng.choice(["load", "Loader", "lo", "re_load", "x%y", "Éa"]) + str(k % 4), rng.choice(["class", "function", "field"]), rng.randint(1, 12)) for k in range(120)]
+    s = spark.createDataFrame(rows, "id string, qualified_name string, file_path string, name string, kind string, start_line int")
+    got = {(r.root, r["rank"], r.id) for r in graph.same_file_neighbours(s, s, 4).collect()}
+    want = set()
+    for root in rows:
+        near = sorted((abs(x[5] - root[5]), x[5], x[0]) for x in rows if x[2] == root[2] and x[0] != root[0] and x[4] != "field")[:4]
+        want |= {(root[0], n + 1, x[2]) for n, x in enumerate(near)}
+    assert got == want
+    asked = ["load", "LOAD1", "lo", "oad", "re_load", "x%y", "%", "q.a", "é", "Éa", "", "none of them", "x", "load"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    plain = s.join(queries, (F.col("name") == F.col("text")) | (F.col("qualified_name") == F.col("text")) | exprs.like_contains(F.col("name"), F.col("text")) | exprs.like_contains(F.col("qualified_name"), F.col("text")))
+    assert {(r.query_id, r.id) for r in graph.find_symbols(queries, s, 1000).collect()} == {(r.query_id, r.id) for r in plain.collect()}
+
+
+def test_bug_lists_from_text(spark, tmp_path):
+    import sys
+
+    from symlake.sources.trees import read_bug_list, run_bug_list
+
+    text = '1,"a.B;c.D",t.T::m\nbug.id,x,y\n2,,\n3,e.F,\n'
+    (tmp_path / "b.csv").write_text(text)
+    want = [("1", ["a.B", "c.D"], ["t.T::m"]), ("3", ["e.F"], [])]
+    rows = lambda df: sorted((r.bug_id, r.modified_classes, r.triggering_tests) for r in df.collect())
+    assert rows(read_bug_list(spark, str(tmp_path / "b.csv"), "P")) == rows(run_bug_list(spark, [sys.executable, "-c", f"print({text!r})"], "P")) == want
+    with pytest.raises(RuntimeError, match="ended with 3"):
+        run_bug_list(spark, [sys.executable, "-c", "raise SystemExit(3)"], "P")
+
+
 def test_reindexing_replaces_edges(spark, tmp_path):
     s = Settings(index_path=str(tmp_path), vectors=False)
     one = lambda text: spark.createDataFrame([("a.py", "python", text)], "path string, language string, content string")
@@ -143,7 +281,9 @@ def test_stream_of_changes(spark, tmp_path):
 def test_tools_keep_to_their_limits(index, spark, tree):
     ix, _ = index
     t = tools.Tools(ix.table("chunks"), ix.table("symbols"), ix.table("symbol_edges"), source_files(spark, str(tree)), tools.Limits(3, 5, 12_000))
-    hits = t.search_code("RETRY_LIMIT load_config", 10)
+    answer = t.search_code("RETRY_LIMIT load_config", 10)
+    hits = answer["results"]
+    assert answer["query"] == "RETRY_LIMIT load_config"
     assert 0 < len(hits) <= 3 and all(len(h["content"].splitlines()) <= 5 for h in hits)
     assert len(t.code_window("service.py", 10, 50)["content"].splitlines()) <= 5
     assert tools.Tools(ix.table("chunks"), ix.table("symbols"), ix.table("symbol_edges"), source_files(spark, str(tree)), tools.Limits(3, 5, 20)).explain_symbol("call_api")["truncated"]
