@@ -368,7 +368,7 @@ def find_usage(spark, d):
 
 @query(f"with {SYMBOLS}, {LOOKUPS}, {FOUND}, {EDGES}, b as (select query_id, id, case when src_symbol_id <> id then src_symbol_id else dst_symbol_id end as other, {_BEST_FIRST.replace('ID', 'query_id').replace('file_path', 'e.file_path')} as k from found join edges e on src_symbol_id = id or dst_symbol_id = id where found.rank = 1) select query_id, string_agg(other, ',' order by other) as related from (select distinct query_id, other from b where k <= 20) group by 1")
 def related_symbols(spark, d):
-    return graph.related(lookups(spark, d), graph_symbols(spark, d), graph_edges(spark, d), 20).select("query_id", F.array_join("related", ",").alias("related"))
+    return graph.related(lookups(spark, d), graph_symbols(spark, d), graph_edges(spark, d), 20).where(F.size("related") > 0).select("query_id", F.array_join("related", ",").alias("related"))
 
 
 @query(f"with {EDGES}, roots as (select 'part/' || p_partkey as root from part), one as (select distinct root, src_symbol_id as id from roots join edges on dst_symbol_id = root), two as (select distinct one.root, src_symbol_id as id from one join edges on dst_symbol_id = one.id) select root, id, 1 as level from one union all select root, id, 2 from two where (root, id) not in (select (root, id) from one) and id <> root")

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from symlake.plans import code  # noqa: F401
 from symlake.plans.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
