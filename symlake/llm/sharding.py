@@ -100,7 +100,7 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     same = ["key", "size", "text_crc32"]
     groups = scratch.write(rows.groupBy(*same).agg(F.count("*").alias("n")).withColumn("bytes", F.col("n") * F.col("size")))
     quota = _quotas(scratch.write(groups.groupBy("bytes").agg(F.count("*").alias("groups"))), shards, scratch)
-    placed = _ranked(groups.select(*same, "bytes"), ["bytes"], ["key", "text_crc32", "size"], "rank", buckets).join(quota, "bytes")
+    placed = _ranked(groups.select(*same, "bytes"), ["bytes"], ["key", "text_crc32", "size"], "rank", buckets).join(quota.hint("merge"), "bytes")
     placed = placed.select(*same, F.element_at("to", F.size(F.filter("until", lambda u: u <= F.col("rank"))) + 1).alias("shard"))
     out = _ranked(rows.join(placed, same), ["shard"], ["doc_id", "key"], "slot", buckets)
     out = settled(spark, out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")))
