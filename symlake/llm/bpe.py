@@ -6,8 +6,8 @@ words are compiled, with their ids as outputs, into a minimal acyclic automaton
 of words with different ids are still shared.  Executors memory-map its arrays.
 Words that it lacks are merged exactly, pair by pair in rank order.
 
-The lexicon holds the ``lexicon_words`` most frequent words of all documents, which are
-counted in partitions first; it decides how fast a word is encoded, never how.  Lexicon
+The lexicon holds the most frequent words of all documents, ``lexicon_words`` at most,
+which are counted in partitions first; it decides how fast a word is encoded, never how.  Lexicon
 and tokenizer file lie in the shared folder, from where Spark hands them to executors.
 
 A tokenizer file that asks for what isn't done here (a normaliser, a space before the
@@ -331,7 +331,16 @@ def _lexicon(docs: DataFrame, vocabulary: Vocabulary, words: int) -> Transducer:
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], schema=target)
 
     counted = docs.where("text is not null").select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    scratch = Scratch(docs.sparkSession)
+    # sixteenths of powers of two: counts of one step go in or stay out together, so no task sorts or sends more than what goes in
+    table = scratch.write(counted.groupBy("word").agg(F.sum("n").alias("n")).withColumn("step", F.floor(16 * F.log2("n"))))
+    least, total = 1 << 30, 0
+    for r in sorted(table.groupBy("step").agg(F.count("*").alias("k")).collect(), reverse=True):  # 1024 rows at most
+        if total + r.k > words:
+            break
+        least, total = r.step, total + r.k
+    top = table.where(F.col("step") >= least).select("word").collect()
+    scratch.drop()
     return Transducer.build({w: vocabulary.merge(w) for w in (r.word.encode() for r in top)})
 
 
