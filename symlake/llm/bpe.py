@@ -4,7 +4,7 @@ The tokenizer file is a public byte-level BPE (path is a parameter).  Frequent
 words are compiled, with their ids as outputs, into a minimal acyclic automaton
 (shared suffixes); word numbers come from counts on the edges, so equal suffixes
 of words with different ids are still shared.  Executors memory-map its arrays.
-Words that it lacks are merged exactly, pair by pair in rank order.
+Words that it lacks are merged exactly, pair by pair in rank order, many words at once.
 
 The lexicon holds the most frequent words of all documents, ``lexicon_words`` at most,
 which are counted in partitions first; it decides how fast a word is encoded, never how.  Lexicon
@@ -25,9 +25,11 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,25 @@ COUNTED = 500_000
 CHARS_AT_ONCE = 1 << 20
 #: Bytes from which a word is merged with a heap.
 LONG_WORD = 200
+#: Bytes of words that are merged at once.
+MERGED_AT_ONCE = 1 << 16
+#: Stands for no token beside a word's ends when its pairs are looked up.
+NO_ID = (1 << 31) - 1
+
+
+@cache
+def _patterns() -> tuple[re.Pattern, regex.Pattern]:
+    """SPLIT twice: for texts of the basic plane with its classes spelt out for re, which takes half the time, and for all others."""
+    plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    letter, number, space = ("".join(f"{re.escape(x[0])}-{re.escape(x[-1])}" for x in regex.findall(f"[{kind}]+", plane)) for kind in (r"\p{L}", r"\p{N}", r"\s"))
+    near = f" ?[{letter}]+|'(?:[stmd]|re|ve|ll)| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
+    return re.compile(near), regex.compile(SPLIT)
+
+
+def cut(text: str) -> list[str]:
+    """The words of a text, as SPLIT says."""
+    near, far = _patterns()
+    return (near if len(text.encode("utf-16-le")) == 2 * len(text) else far).findall(text)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -88,6 +109,8 @@ class Vocabulary:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks.setdefault((ids[a], ids[b]), rank)
             self.merged.append(ids[a + b])
+        pairs = np.array([(a << 32 | b, r) for (a, b), r in sorted(self.ranks.items())], np.int64).reshape(-1, 2)
+        self._pairs, self._pair_ranks, self._merged, self._byte_ids = pairs[:, 0].copy(), pairs[:, 1].astype(np.int32), np.array(self.merged, np.int32), np.array(self.byte_ids, np.int32)
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
         self.token_bytes |= {i: s.encode() for s, i in self.special.items()}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -109,6 +132,57 @@ class Vocabulary:
                 ranks[k] = rank_of((ids[k], ids[k + 1]), none)
         return ids
 
+    def merge_all(self, words: list[bytes]) -> list[list[int]]:
+        """merge for each word; words of similar length are merged at once, one pair of each in a round."""
+        out: list[list[int]] = [[]] * len(words)
+        at, some, size = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable").tolist(), [], 0
+        for k in at:
+            if len(words[k]) > LONG_WORD or not self.merged:
+                out[k] = self.merge(words[k])
+                continue
+            some.append(k)
+            size += len(words[k])
+            if size >= MERGED_AT_ONCE:
+                self._merge_rows(words, some, out)
+                some, size = [], 0
+        if size:
+            self._merge_rows(words, some, out)
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; len(merged) for those that don't merge."""
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == key, self._pair_ranks[at], np.int32(len(self.merged)))
+
+    def _merge_rows(self, words: list[bytes], some: list[int], out: list[list[int]]) -> None:
+        raw = [words[k] for k in some]
+        sizes, some = np.fromiter(map(len, raw), np.int64, len(raw)), np.array(some)
+        width, none = int(sizes.max()), len(self.merged)
+        ids = np.full((len(raw), width + 1), NO_ID, np.int32)
+        ids[np.arange(width + 1) < sizes[:, None]] = self._byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        # ranks[:, j] is that of the pair that begins at j; the last column is never one, and is written for the pair before a word's first token
+        ranks = np.full((len(raw), width + 1), none, np.int32)
+        ranks[:, :-1] = self._ranks(ids[:, :-1], ids[:, 1:])
+        while len(some):
+            k = ranks.argmin(1)
+            best = ranks[np.arange(len(some)), k]
+            go = best < none
+            if not go.all():
+                done = ~go
+                for w, n, x in zip(some[done].tolist(), sizes[done].tolist(), ids[done].tolist(), strict=True):
+                    out[w] = x[:n]
+                ids, ranks, sizes, some, k, best = ids[go], ranks[go], sizes[go], some[go], k[go], best[go]
+                if not len(some):
+                    break
+            # every row left loses one token, so all stay flush with the last column
+            rows, column, here = np.arange(len(some)), np.arange(ids.shape[1] - 1), self._merged[best]
+            kept = column + (column > k[:, None]) + rows[:, None] * ids.shape[1]
+            ids, ranks, sizes = ids.ravel()[kept], ranks.ravel()[kept], sizes - 1
+            ids[rows, k] = here
+            ranks[rows, k] = self._ranks(here, ids[rows, np.minimum(k + 1, len(column) - 1)])
+            ranks[rows, k - 1] = self._ranks(np.where(k > 0, ids[rows, k - 1], np.int32(NO_ID)), here)
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same for a word of any length in n log n: a heap of pairs over a linked list."""
         n, rank_of, merged = len(ids), self.ranks.get, self.merged
@@ -256,7 +330,7 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer):
-        self.v, self.lexicon, self.split = vocabulary, lexicon, regex.compile(SPLIT)
+        self.v, self.lexicon = vocabulary, lexicon
         self.young: dict[str, tuple[bytes, bytes]] = {}
         self.old: dict[str, tuple[bytes, bytes]] = {}
         self.decimal = {i: str(i).encode() for i in vocabulary.token_bytes}
@@ -274,30 +348,31 @@ class Encoder:
         young |= {w: old[w] for w in missing.difference(new)}
         words = list(new)
         raw = [w.encode() for w in words]
-        for w, b, k in zip(words, raw, self.lexicon.find(raw).tolist(), strict=True):
-            young[w] = self._entry(self.lexicon.outputs(k) if k >= 0 else self.v.merge(b))
+        found = self.lexicon.find(raw).tolist()
+        merged = iter(self.v.merge_all([b for b, k in zip(raw, found, strict=True) if k < 0]))
+        for w, k in zip(words, found, strict=True):
+            young[w] = self._entry(self.lexicon.outputs(k) if k >= 0 else next(merged))
 
     def sections(self, text: str) -> list[list[str]]:
         """Words of the text; every other section is one special token."""
         if self.v.special_split and any(s in text for s in self.v.special):
-            return [[x] if k % 2 else self.split.findall(x) for k, x in enumerate(self.v.special_split.split(text))]
-        return [self.split.findall(text)]
+            return [[x] if k % 2 else cut(x) for k, x in enumerate(self.v.special_split.split(text))]
+        return [cut(text)]
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """For each text: its ids as decimal text joined by commas, and the bytes that they decode to."""
-        cut = [self.sections(t) for t in texts]
+        parted = [self.sections(t) for t in texts]
         pieces: set[str] = set()
-        for sections in cut:
+        for sections in parted:
             for x in sections[::2]:
                 pieces.update(x)
         self.learn(pieces)
         out = []
-        for sections in cut:
+        for sections in parted:
             parts: list[tuple[bytes, bytes]] = []
             for k, x in enumerate(sections):
                 parts += [self._entry([self.v.special[x[0]]])] if k % 2 else map(self.young.__getitem__, x)
-            ids, raw = zip(*parts, strict=True) if parts else ((), ())
-            out.append((b",".join(ids), b"".join(raw)))
+            out.append((b",".join([ids for ids, _ in parts]), b"".join([raw for _, raw in parts])))
         return out
 
 
@@ -318,13 +393,13 @@ def batches_of(texts: list[str]) -> Iterator[list[str]]:
 
 def _lexicon(docs: DataFrame, vocabulary: Vocabulary, words: int) -> Transducer:
     """The most frequent words of all documents, with their ids."""
-    split, target = SPLIT, _arrow("word string, n long")
+    target = _arrow("word string, n long")
 
     def count(batches):
-        cut, found = regex.compile(split), Counter()
+        found = Counter()
         for b in batches:
             for t in b["text"].to_pylist():
-                found.update(cut.findall(t))
+                found.update(cut(t))
                 if len(found) > COUNTED:
                     yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], schema=target)
                     found.clear()
@@ -341,7 +416,8 @@ def _lexicon(docs: DataFrame, vocabulary: Vocabulary, words: int) -> Transducer:
         least, total = r.step, total + r.k
     top = table.where(F.col("step") >= least).select("word").collect()
     scratch.drop()
-    return Transducer.build({w: vocabulary.merge(w) for w in (r.word.encode() for r in top)})
+    raw = [r.word.encode() for r in top]
+    return Transducer.build(dict(zip(raw, vocabulary.merge_all(raw), strict=True)))
 
 
 _STATE: dict[str, Encoder] = {}

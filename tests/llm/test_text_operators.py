@@ -56,6 +56,24 @@ def test_long_words_merge_alike(vocabulary):
         assert vocabulary.merge(w) == vocabulary._merge_long([vocabulary.byte_ids[x] for x in w])
 
 
+def test_unknown_words_are_merged_at_once(vocabulary, monkeypatch):
+    rng = random.Random(8)
+    words = [w.encode() for w in ("".join(rng.choice("aeinrst é’字") for _ in range(rng.randint(1, 40))) for _ in range(3000))] + [b"a", b"aaaa", bytes(range(256))]
+    assert vocabulary.merge_all(words) == [vocabulary.merge(w) for w in words] and vocabulary.merge_all([]) == []
+    text = " ".join("".join(rng.choice("aeinrst") for _ in range(9)) for _ in range(500))
+    monkeypatch.setattr(vocabulary, "merge", lambda word: pytest.fail("a short word was merged on its own"))
+    ids, _ = bpe.Encoder(vocabulary, bpe.Transducer.build({})).encode([text])[0]
+    assert bpe.ids_of(ids) == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
+def test_words_are_cut_as_by_the_pattern():
+    whole, rng = bpe.regex.compile(bpe.SPLIT), random.Random(9)
+    every = [chr(x) for x in range(0x30000) if not 0xD800 <= x < 0xE000]
+    texts = [f"a{x} {x}{x}1  {x}\n" for x in every]
+    texts += ["".join(rng.choice(" \n\t'stmdrevl\x1c\x85\xa0aé٣²½Ⅷ一😀_-!\u3000\ud7fb\ue000") for _ in range(rng.randint(0, 30))) for _ in range(5000)]
+    assert [t for t in texts if bpe.cut(t) != whole.findall(t)] == []
+
+
 def test_transducer_is_minimal_and_reads_back(tmp_path):
     words = {w.encode(): [k, k + 1] for k, w in enumerate(["tops", "top", "stops", "stop", "tap", "taps", ""])}
     t = bpe.Transducer.build(words)
