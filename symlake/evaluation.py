@@ -45,8 +45,9 @@ def hits_by_mode(index: Index, asked: DataFrame, limit: int = 10, vectors: bool
     lists = {"ripgrep": exact_hits(index, asked, limit), "fts": index.text_hits(asked, limit)}
     if vectors:
         lists["vector"] = index.vector_hits(asked, limit)
+    lists = {m: graph._cut(h) for m, h in lists.items()}
     fused, counts = fuse.hybrid(asked, lists, limit)
-    return lists | {"hybrid": fused, "counts": counts}
+    return lists | {"hybrid": graph._cut(fused), "counts": counts}  # every measure reads the fused list
 
 
 def evaluate(index: Index, cases: DataFrame, limit: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -74,17 +75,18 @@ def localise(index: Index, cases: DataFrame, limit: int = 10, depth: int = 2, ra
     hits = hits_by_mode(index, asked, limit, vectors)["hybrid"].withColumnRenamed("query_id", "case_id")
     symbols, edges = index.table("symbols"), index.table("symbol_edges")
     looked = asked.select("query_id", F.col("impact_symbol").alias("text"))
-    best = graph.find_symbols(looked, symbols, 1).drop("rank")
-    roots = best.dropDuplicates(["id"])
-    f = impact.fragments(roots, symbols, edges, limit)
+    # what several legs read is cut off, or the measures' plan holds it dozens of times, each time with its broadcasts
+    best = graph._cut(graph.find_symbols(looked, symbols, 1).drop("rank"))
+    roots = graph._cut(best.dropDuplicates(["id"]))
+    f = {k: graph._cut(v) for k, v in impact.fragments(roots, symbols, edges, limit).items()}
     files = source_files(index.spark, index.root, index.settings.include_globs, index.settings.exclude_dirs)
     frames = {"symbol": roots.withColumnRenamed("id", "root"), "direct_callers": f["callers"], "files_affected": impact.affected_files(roots, f), "related_methods": impact.related_methods(roots, f, limit), "top_code_windows": impact.windows(roots, f, files, radius, limit)}
     # several cases may look at one symbol: its frames are joined to each of them
     of = best.select(F.col("id").alias("root"), F.col("query_id").alias("case_id"))
-    frames = {k: (v.drop("query_id") if "query_id" in v.columns else v).join(of, "root") for k, v in frames.items()}
+    frames = {k: graph._cut((v.drop("query_id") if "query_id" in v.columns else v).join(of, "root")) for k, v in frames.items()}
     wanted = asked.select(F.col("query_id").alias("case_id"), "bug_id", "project", "expected_files", "expected_methods")
     out = evals.localise(wanted.drop("bug_id", "project"), hits, frames, tree_tokens(index))
-    return wanted.select("case_id", "bug_id", "project").join(out, "case_id").drop("case_id")
+    return graph._cut(wanted.select("case_id", "bug_id", "project").join(out, "case_id").drop("case_id"))
 
 
 #: Parts of an impact report that a summary keeps, and how many rows of each.

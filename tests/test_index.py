@@ -440,3 +440,14 @@ def test_fault_localisation_of_a_tree(spark, tree, tmp_path):
     assert len(json.loads((tmp_path / "r.json").read_text())["summary"]) == 3
     evaluation.write_cases(str(tmp_path / "c.yml"), cases)
     assert yaml_cases(spark, str(tmp_path / "c.yml"), evaluation.BUG_CASES).count() == 2
+
+
+def test_measures_of_a_tree_hold_no_list_twice(spark, tree, tmp_path):
+    from symlake import evaluation
+
+    settings = Settings(index_path=str(tmp_path / "ix"), vectors=False)
+    index_tree(spark, str(tree), settings)
+    asked = evaluation.numbered(spark.createDataFrame([("a", "load_config", None, None)], evaluation.CASES))
+    by_mode = evaluation.hits_by_mode(Index(spark, settings, str(tree)), asked)
+    plan = by_mode["hybrid"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan and by_mode["hybrid"].count()
