@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import like_contains
+from ..sources.store import merged
 
 NEIGHBOUR_KINDS = ("function", "async_function", "method", "constructor", "class")
 #: Words of a question and the kind of edges that answers it; the first that fits counts.
@@ -28,6 +29,11 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (GRAM - 1)), lambda k: F.substring(t, k, F.lit(GRAM))))
 
 
+def few(rows: DataFrame) -> bool:
+    """Whether there are so few rows that every task may hold them."""
+    return rows.limit(LOOPED + 1).count() <= LOOPED
+
+
 def find_symbols(queries: DataFrame, symbols: DataFrame, limit: int = 10) -> DataFrame:
     """query_id, rank and the symbol's columns: equal names first, then by qualified name and file.
 
@@ -46,7 +52,7 @@ def find_symbols(queries: DataFrame, symbols: DataFrame, limit: int = 10) -> Dat
     rarest = wanted.join(often, "gram", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0").select("query", "g.gram")
     by_gram = grams.join(rarest, "gram").where(like_contains(F.col("held"), q)).select("query", "held")
     odd = texts.where(~plain)
-    odd = F.broadcast(odd) if odd.limit(LOOPED + 1).count() <= LOOPED else odd
+    odd = F.broadcast(odd) if few(odd) else odd
     by_loop = names.join(odd, like_contains(F.col("held"), q) | (F.col("held") == q)).select("query", "held")
     equal = names.join(texts, F.col("held") == q).select("query", "held")
     holds = by_gram.unionByName(by_loop).unionByName(equal).distinct()
@@ -109,7 +115,7 @@ def with_names(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """edges with what is known of both ends."""
     s = symbols.select(F.col("id").alias("src_symbol_id"), F.col("qualified_name").alias("src_symbol"), F.col("kind").alias("src_kind"), F.col("file_path").alias("src_file_path"), F.col("start_line").alias("src_start_line"), F.col("end_line").alias("src_end_line"))
     d = symbols.select(F.col("id").alias("dst_symbol_id"), F.col("qualified_name").alias("dst_symbol"))
-    return edges.join(s, "src_symbol_id", "left").join(d, "dst_symbol_id", "left")
+    return edges.join(merged(s), "src_symbol_id", "left").join(merged(d), "dst_symbol_id", "left")
 
 
 def _cut(df: DataFrame) -> DataFrame:

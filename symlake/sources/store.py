@@ -22,6 +22,25 @@ from ..schemas import DEFAULTS, TABLES
 BUCKETS, KEPT = 64, 3
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """A side of a join that is dealt and merged, not broadcast: what is made from source files is far larger than Spark
+    guesses from the tables that it comes from."""
+    return df.hint("merge")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Written as Parquet to the session's shared folder, where it has one, for frames that are costly and read often."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    path = f"{folder}/kept-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def last_wins(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row for each key: the last in the given order."""
     w = Window.partitionBy(*keys).orderBy(*[F.desc(c) if isinstance(c, str) else c for c in order])
