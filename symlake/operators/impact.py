@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import merged
 from . import graph
 from .window import code_windows
 
@@ -12,7 +13,8 @@ from .window import code_windows
 def _first_ends(roots: DataFrame, edges: DataFrame, symbols: DataFrame, end: str, limit: int, kind: str | None = None) -> DataFrame:
     """The first edges at one end of each root, with names: confidence falling, then lines, nulls first."""
     e = edges if kind is None else edges.where(F.col("edge_type") == kind)
-    at = e.join(roots.select(F.col("id").alias("root")), F.col(end) == F.col("root"))
+    r = roots.select(F.col("id").alias("root"))
+    at = e.join(r if graph.few(r) else merged(r), F.col(end) == F.col("root"))
     first = graph.ranked(at, ["root"], [F.desc("confidence"), F.asc_nulls_first("line_start"), "src_symbol_id", "dst_symbol_id", "edge_type", "file_path"], limit)
     return graph.with_names(first, symbols)
 

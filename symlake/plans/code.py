@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import uuid5
 from ..operators import chunks, enrich, evals, fts, graph, impact, parsing, symbols
+from ..sources.store import kept, merged
 from .queries import E_SQL, EDGE, EDGES, SYMBOLS, _BM25, _FIRST, _FUSED, _hybrid, _t, benchmark_queries, graph_edges, graph_symbols, query
 
 #: Lines of a part in each file.
@@ -24,7 +25,7 @@ def _block(key: str, *lines: str) -> Column:
 
 
 def _written(spark, d) -> DataFrame:
-    parts = _t(spark, d, "part").select("p_brand", "p_partkey", F.col("p_partkey").cast("string").alias("k"))
+    parts = _t(spark, d, "part").select("p_brand", "p_partkey", F.col("p_partkey").cast("string").alias("k")).repartition("p_partkey")  # the table is a small file, its texts are not
     python = _block("k", "class C#:", "    def run(self):", "        return f#()", "", "", "def f#():", "    return TIMEOUT_#", "")
     java = _block("k", "class T# {", "    int size#;", "    int run#(int n) {", "        return help#(n);", "    }", "    int help#(int n) { return n; }", "}")
     rows = parts.select("p_brand", "p_partkey", F.explode(F.array(F.struct(F.lit("python").alias("language"), F.lit(".py").alias("suffix"), python.alias("text")), F.struct(F.lit("java").alias("language"), F.lit(".java").alias("suffix"), java.alias("text")))).alias("f")).select("p_brand", "p_partkey", "f.*")
@@ -34,7 +35,7 @@ def _written(spark, d) -> DataFrame:
 
 
 def _parsed(spark, d) -> DataFrame:
-    return parsing.parse(_written(spark, d))
+    return kept(parsing.parse(_written(spark, d)))  # read by several joins
 
 
 _PARTS = "parts as (select p_partkey, p_partkey::varchar k, 'src/' || replace(p_brand, '#', '_') as stem, row_number() over (partition by p_brand order by p_partkey) - 1 as i from part)"
@@ -186,17 +187,23 @@ def outgoing_impact(spark, d):
     return out.select("root", "file_path", "score", F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query(f"""with {_PARTS}, w as (select stem, k, i, n, greatest(1, 8 * i + 6 - 2) as s, least(8 * n, 8 * i + 6 + 2) as e from (select *, count(*) over (partition by stem) n from parts))
-select 'f' || k as root, 1::bigint as rank, 'target definition' as reason, stem || '.py' as file_path, s::int as line_start, e::int as line_end,
-  array_to_string(['', ''] || ['def f' || k || '():', '    return TIMEOUT_' || k, ''], chr(10)) as content from w""")
+@query(f"""with {_ALL}, text_ as (
+    select stem || '.py' as file_path, 8 * i as before, ['class C' || k || ':', '    def run(self):', '        return f' || k || '()', '', '', 'def f' || k || '():', '    return TIMEOUT_' || k, ''] as l from parts
+    union all select stem || '.java', 7 * i, ['class T' || k || ' {{', '    int size' || k || ';', '    int run' || k || '(int n) {{', '        return help' || k || '(n);', '    }}', '    int help' || k || '(int n) {{ return n; }}', '}}'] from parts),
+  lines as (select file_path, before + unnest(range(1, len(l) + 1)) as line, unnest(l) as text from text_), n as (select file_path, count(*) as n from lines group by 1),
+  places as (select qualified_name as root, 1 as rank, 'target definition' as reason, file_path, s as line from code
+    union all select 'f' || k, 2, 'direct caller: C' || k || '.run', stem || '.py', 8 * i + 2 from parts
+    union all select 'T' || k || '.help' || k, 2, 'direct caller: T' || k || '.run' || k, stem || '.java', 7 * i + 4 from parts),
+  w as (select root, rank, reason, file_path, greatest(1, line - 2) as s, least(n, line + 2) as e from places join n using (file_path)),
+  each as (select *, unnest(range(s, e + 1)) as line from w)
+select root, rank::bigint as rank, reason, file_path, s::int as line_start, e::int as line_end, string_agg(text, chr(10) order by line) as content from each join lines using (file_path, line) group by all""")
 def impact_windows(spark, d):
-    """The windows around the functions of the written files; nothing calls them from another line that is known."""
+    """The windows around every symbol of the written files, and around the calls of it."""
     parsed = _parsed(spark, d)
-    s = symbols.symbols(parsed)
-    roots = s.where("name rlike '^f[0-9]+$'")
-    f = impact.fragments(roots, s, symbols.edges(parsed).drop("ord").where("edge_type = 'inherits'"))
-    out = impact.windows(roots, f, _written(spark, d), 2).join(roots.select(F.col("id").alias("root"), F.col("name").alias("f")), "root")
-    return out.select(F.col("f").alias("root"), F.col("rank").cast("long").alias("rank"), "reason", "file_path", "line_start", "line_end", "content")
+    s = kept(symbols.symbols(parsed))
+    f = impact.fragments(s, s, symbols.edges(parsed).drop("ord"))
+    out = impact.windows(s, f, _written(spark, d), 2).join(merged(s.select(F.col("id").alias("root"), F.col("qualified_name").alias("name"))), "root")
+    return out.select(F.col("name").alias("root"), F.col("rank").cast("long").alias("rank"), "reason", "file_path", "line_start", "line_end", "content")
 
 
 @query(f"with {_PARTS}, f as (select distinct stem from parts) select stem || '.py' as path, 'python' as language, {_uuid("stem || '.py:file_summary'")} as id from f union all select stem || '.java', 'java', {_uuid("stem || '.java:file_summary'")} from f")
