@@ -209,9 +209,13 @@ select phrase, docs, places, row_number() over (order by docs desc, places desc,
 )
 def fts_phrase(spark, d):
     """The phrases of two tokens that stand in most documents."""
-    toks = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), fts.index_tokens(F.col("text")).alias("ts"))
-    pairs = toks.where(F.size("ts") > 1).select("id", F.explode(F.zip_with(F.slice("ts", 1, F.size("ts") - 1), F.slice("ts", 2, F.size("ts") - 1), lambda a, b: F.concat_ws(" ", a, b))).alias("phrase"))
-    by = pairs.groupBy("id", "phrase").agg(F.count("*").alias("f")).groupBy("phrase").agg(F.count("*").alias("docs"), F.sum("f").alias("places")).where("docs > 1")
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    if docs.groupBy("id").count().where("count > 1").isEmpty():
+        by = fts.pairs(docs, "text").where("docs > 1")
+    else:  # rows of one id count as one document
+        toks = docs.select("id", fts.index_tokens(F.col("text")).alias("ts"))
+        pairs = toks.where(F.size("ts") > 1).select("id", F.explode(F.zip_with(F.slice("ts", 1, F.size("ts") - 1), F.slice("ts", 2, F.size("ts") - 1), lambda a, b: F.concat_ws(" ", a, b))).alias("phrase"))
+        by = pairs.groupBy("id", "phrase").agg(F.count("*").alias("f")).groupBy("phrase").agg(F.count("*").alias("docs"), F.sum("f").alias("places")).where("docs > 1")
     top = by.orderBy(F.desc("docs"), F.desc("places"), "phrase").limit(50)
     return top.select("phrase", "docs", "places", F.row_number().over(Window.orderBy(F.desc("docs"), F.desc("places"), "phrase")).cast("long").alias("rank"))
 
