@@ -76,7 +76,7 @@ def parse_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
     text = strip(F.coalesce(F.col(reply), F.lit("")))
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
     braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    is_object = lambda c: F.when(F.typeof(F.try_parse_json(c)).isNotNull() & F.try_parse_json(c).isNotNull() & strip(c).startswith("{"), c)
+    is_object = lambda c: F.when(strip(c).startswith("{") & F.try_parse_json(c).isNotNull(), c)
     out = replies.withColumn("json", F.coalesce(is_object(fenced), is_object(text), is_object(braces)))
     get = lambda k: F.get_json_object("json", f"$.{k}")
     # get_json_object gives strings without their quotes, so a field is read again as it stands in a map

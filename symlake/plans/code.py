@@ -110,11 +110,16 @@ def vector_payloads(spark, d):
     return out.where("graph_context is not null or symbol_count is not null").select("symbol", "symbol_count", F.array_join("defined_symbols", ",").alias("defined"), context.alias("context"))
 
 
+#: Parts whose replies a task reads.
+PARTS = 10_000
+
+
 @query("""select 'part/' || p_partkey as id, p_name || ' is made' as description, [p_brand, p_type] as responsibilities, [p_type] as search_tags,
   p_name || ' is made' || chr(10) || 'Responsibilities: ' || p_brand || ', ' || p_type || chr(10) || 'Search tags: ' || p_type as profile from part where p_brand <> p_type""")
 def enrich_replies(spark, d):
     """Replies of a model (fenced, with text around, broken), read, put together and written as a profile."""
     p = _t(spark, d, "part").where("p_brand != p_type")
+    p = p.repartition(p.count() // PARTS + 1, "p_partkey")  # the table is a small file, its replies are many
     brand, kind = F.to_json(F.array("p_brand")), F.to_json(F.array("p_type"))
     text = F.to_json(F.struct(F.concat(F.lit("  "), "p_name", F.lit(" is made ")).alias("d")))
     described = F.concat(F.lit('```json\n{"description": '), F.substring(text, 6, 100000), F.lit("\n```"))
