@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import merged
+
 VECTORS, QUERIES = 2048, 256
 
 
@@ -44,7 +46,8 @@ def search(queries: DataFrame, vectors: DataFrame, limit: int = 10, dimension: i
     numbers = max(1, -(-vectors.count() // VECTORS))
     v = _blocks(vectors.select("id", "vec"), numbers, ("block", "dim", "vs"))
     q = _blocks(queries.select(F.col("query_id").alias("id"), "vec"), max(1, -(-queries.count() // QUERIES)), ("qblock", "dim", "qs"))
-    pairs = v.join(q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(numbers - 1).cast("long")))), ["block", "dim"])
+    # blocks are large, and those of queries grow with the queries: they are dealt and merged, not broadcast
+    pairs = v.join(merged(q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(numbers - 1).cast("long"))))), ["block", "dim"])
     schema = "query_id long, id long, score double"
     target = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
