@@ -56,28 +56,23 @@ def find_symbols(queries: DataFrame, symbols: DataFrame, limit: int = 10) -> Dat
     by_loop = names.join(odd, like_contains(F.col("held"), q) | (F.col("held") == q)).select("query", "held")
     equal = names.join(texts, F.col("held") == q).select("query", "held")
     holds = by_gram.unionByName(by_loop).unionByName(equal).distinct()
-    by_name = holds.join(symbols.withColumn("held", F.col("name")), "held")
-    by_qualified = holds.join(symbols.withColumn("held", F.col("qualified_name")), "held").where(~F.col("name").eqNullSafe(F.col("held")))
+    by_name = holds.join(merged(symbols.withColumn("held", F.col("name"))), "held")
+    by_qualified = holds.join(merged(symbols.withColumn("held", F.col("qualified_name"))), "held").where(~F.col("name").eqNullSafe(F.col("held")))
     both = by_name.unionByName(by_qualified).drop("held").dropDuplicates()
     exact = (F.col("name") == q) | (F.col("qualified_name") == q)
     columns = symbols.columns
-    found = both.join(asked, "query").withColumn("inexact", F.when(exact, 0).otherwise(1))
+    found = both.join(F.broadcast(asked) if few(asked) else merged(asked), "query").withColumn("inexact", F.when(exact, 0).otherwise(1))
     return ranked(found, ["query_id"], ["inexact", "qualified_name", "file_path"], limit).select("query_id", "rank", *columns)
 
 
 def edges_of(ids: DataFrame, edges: DataFrame, direction: str = "both") -> DataFrame:
     """edges that touch the ids (id, and whatever goes along), best first; an edge from an id to itself stands once."""
     src, dst = F.col("src_symbol_id"), F.col("dst_symbol_id")
-    parts = []
-    if direction in ("in", "both"):
-        parts.append(ids.join(edges, dst == F.col("id")))
-    if direction in ("out", "both"):
-        more = ids.join(edges, src == F.col("id"))
-        parts.append(more.where(src != dst) if direction == "both" else more)
-    if not parts:
+    ends = {"in": dst, "out": src, "both": F.explode(F.array_distinct(F.array(src, dst)))}  # edges are read once for both ends
+    if direction not in ends:
         raise ValueError(f"unknown direction: {direction}")
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return ranked(out, ["id"], [F.desc("confidence"), "edge_type", "src_symbol_id", "dst_symbol_id", "file_path"])
+    out = edges.withColumn("__end", ends[direction]).join(F.broadcast(ids) if few(ids) else merged(ids), F.col("__end") == F.col("id"))
+    return ranked(out.select(*ids.columns, *edges.columns), ["id"], [F.desc("confidence"), "edge_type", "src_symbol_id", "dst_symbol_id", "file_path"])
 
 
 def edges_by_type(edges: DataFrame, edge_type: str | Column, limit: int | None = None) -> DataFrame:
@@ -87,14 +82,14 @@ def edges_by_type(edges: DataFrame, edge_type: str | Column, limit: int | None =
 
 def explain(queries: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """The best symbol of each query with its edges in both directions; symbols without edges have nulls."""
-    best = find_symbols(queries, symbols, 1).drop("rank").withColumnRenamed("file_path", "symbol_file")
+    best = _cut(find_symbols(queries, symbols, 1).drop("rank").withColumnRenamed("file_path", "symbol_file"))
     found = edges_of(best.select("id").distinct(), edges)
     return best.join(found, "id", "left")
 
 
 def usages(queries: DataFrame, symbols: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
     """Incoming edges of up to `most` symbols that match a query, in the order of symbols and then of edges."""
-    matched = find_symbols(queries, symbols, most).select("query_id", F.col("rank").alias("symbol_rank"), "id")
+    matched = _cut(find_symbols(queries, symbols, most).select("query_id", F.col("rank").alias("symbol_rank"), "id"))
     found = edges_of(matched.select("id").distinct(), edges, "in").withColumnRenamed("rank", "edge_rank")
     out = matched.join(found, "id")
     return ranked(out, ["query_id"], ["symbol_rank", "edge_rank"])
@@ -102,8 +97,7 @@ def usages(queries: DataFrame, symbols: DataFrame, edges: DataFrame, most: int =
 
 def related(queries: DataFrame, symbols: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
     """query_id, the best symbol (symbol), related (the other ends of its first edges, in order) and these edges (edges)."""
-    best = find_symbols(queries, symbols, 1).drop("rank")
-    best = best.select("query_id", "id", F.struct(*symbols.columns).alias("symbol"))
+    best = _cut(find_symbols(queries, symbols, 1).drop("rank").select("query_id", "id", F.struct(*symbols.columns).alias("symbol")))
     found = edges_of(best.select("id").distinct(), edges).where(F.col("rank") <= limit)
     other = F.when(F.col("src_symbol_id") != F.col("id"), F.col("src_symbol_id")).otherwise(F.col("dst_symbol_id"))
     by = found.withColumn("other", other).groupBy("id").agg(F.array_sort(F.collect_set("other")).alias("related"), F.array_sort(F.collect_list(F.struct("rank", *edges.columns))).alias("edges"))
@@ -181,13 +175,13 @@ def same_file_neighbours(roots: DataFrame, symbols: DataFrame, limit: int = 10)
     at = callables.groupBy("file_path", F.col("start_line").alias("line")).agg(F.count("*").alias("n")).unionByName(r.select("file_path", "line", F.lit(0).cast("long").alias("n")).distinct())
     at = at.groupBy("file_path", "line").agg(F.sum("n").alias("n"))
     before = (F.sum("n").over(w.orderBy("line")) - F.col("n")).cast("int")
-    places = at.withColumn("before", before).join(r.select("file_path", "line").distinct(), ["file_path", "line"], "left_semi")
+    places = at.withColumn("before", before).join(merged(r.select("file_path", "line").distinct()), ["file_path", "line"], "left_semi")
     span = lambda side, first, last: F.transform(F.sequence(first, last), lambda k: F.struct(F.lit(side).alias("side"), k.alias("no")))
     asked = places.withColumn("n", F.explode(F.concat(span(0, F.col("before") - limit, F.col("before")), span(1, F.col("before") + 1, F.col("before") + limit + 1)))).select("file_path", "line", "n.side", "n.no")
-    near = numbered.join(asked, ["file_path", "side", "no"]).drop("side", "no")
+    near = numbered.join(merged(asked), ["file_path", "side", "no"]).drop("side", "no")
     order = [F.abs(F.col("start_line") - F.col("line")), "start_line", "id"]
     near = ranked(near, ["file_path", "line"], order, limit + 1)  # one of them may be the root
-    found = near.drop("rank").join(r, ["file_path", "line"]).where("id != root")
+    found = near.drop("rank").join(merged(r), ["file_path", "line"]).where("id != root")
     return ranked(found, ["root"], order, limit).drop("line")
 
 

@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import merged
+from ..sources.store import kept
 from . import graph
 from .window import code_windows
 
 
-def _first_ends(roots: DataFrame, edges: DataFrame, symbols: DataFrame, end: str, limit: int, kind: str | None = None) -> DataFrame:
-    """The first edges at one end of each root, with names: confidence falling, then lines, nulls first."""
-    e = edges if kind is None else edges.where(F.col("edge_type") == kind)
+def _first_ends(roots: DataFrame, edges: DataFrame, end: str, limit: int) -> DataFrame:
+    """The first edges at one end of each root, and the first that are calls: confidence falling, then lines, nulls first.
+
+    rank counts all edges of the root in this order, calls_rank the calls among them.
+    """
     r = roots.select(F.col("id").alias("root"))
-    at = e.join(r if graph.few(r) else merged(r), F.col(end) == F.col("root"))
-    first = graph.ranked(at, ["root"], [F.desc("confidence"), F.asc_nulls_first("line_start"), "src_symbol_id", "dst_symbol_id", "edge_type", "file_path"], limit)
-    return graph.with_names(first, symbols)
+    at = edges.join(r if graph.few(r) else r.hint("shuffle_hash"), F.col(end) == F.col("root"))  # roots lie in parts; edges need not be sorted for them
+    w = Window.partitionBy("root").orderBy(F.desc("confidence"), F.asc_nulls_first("line_start"), "src_symbol_id", "dst_symbol_id", "edge_type", "file_path")
+    calls = F.count(F.when(F.col("edge_type") == "calls", 1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = at.withColumns({"rank": F.row_number().over(w), "calls_rank": calls.cast("int")})
+    return both.where((F.col("rank") <= limit) | ((F.col("edge_type") == "calls") & (F.col("calls_rank") <= limit)))
 
 
 def fragments(roots: DataFrame, symbols: DataFrame, edges: DataFrame, limit: int = 10) -> dict[str, DataFrame]:
     """callers, incoming, outgoing, neighbours of each root (root, rank, ...)."""
-    symbols, edges = graph._cut(symbols), graph._cut(edges)  # each is read by four legs, and by what comes of them
+    symbols, edges = kept(symbols), kept(edges)  # each is read by several legs, and by what comes of them
+    incoming = graph.with_names(kept(_first_ends(roots, edges, "dst_symbol_id", limit)), symbols)
+    outgoing = graph.with_names(_first_ends(roots, edges, "src_symbol_id", limit), symbols)
     return {
-        "callers": _first_ends(roots, edges, symbols, "dst_symbol_id", limit, "calls"),
-        "incoming": _first_ends(roots, edges, symbols, "dst_symbol_id", limit),
-        "outgoing": _first_ends(roots, edges, symbols, "src_symbol_id", limit),
+        "callers": incoming.where((F.col("edge_type") == "calls") & (F.col("calls_rank") <= limit)).withColumn("rank", F.col("calls_rank")).drop("calls_rank"),
+        "incoming": incoming.where(F.col("rank") <= limit).drop("calls_rank"),
+        "outgoing": outgoing.where(F.col("rank") <= limit).drop("calls_rank"),
         "neighbours": graph.same_file_neighbours(roots, symbols, limit),
     }
 
